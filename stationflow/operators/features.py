@@ -176,7 +176,7 @@ def run_length(df: DataFrame, spec: SeriesSpec, predicate: Column, min_run: int,
 # Name patterns of the feature catalogue groups.
 CATALOG_PATTERNS = {"temporal": r"(_sin|_cos)$", "lag": r"_lag_", "rolling": r"_(ma|std|min|max)_\d+h$",
                     "interaction": r"(_diff|_product|_ratio|_interaction|_approx)$",
-                    "station": r"^station_"}
+                    "station": r"^station_(?!id$)"}
 
 
 def feature_catalog(df: DataFrame) -> DataFrame:
