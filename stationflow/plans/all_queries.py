@@ -4,3 +4,4 @@ from stationflow.plans import obs_queries  # noqa: F401
 from stationflow.plans import rule_queries  # noqa: F401
 from stationflow.plans import feature_queries  # noqa: F401
 from stationflow.plans import metric_queries  # noqa: F401
+from stationflow.plans import model_queries  # noqa: F401
