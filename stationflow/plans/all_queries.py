@@ -6,3 +6,4 @@ from stationflow.plans import feature_queries  # noqa: F401
 from stationflow.plans import metric_queries  # noqa: F401
 from stationflow.plans import model_queries  # noqa: F401
 from stationflow.plans import source_queries  # noqa: F401
+from stationflow.plans import stream_queries  # noqa: F401
