@@ -17,6 +17,10 @@ every ROWS-frame feature is evaluated over *chunks*:
    ``chunk_rows + halo`` rows of one series.
 
 ``chunk_rows=None`` selects the plain form (one window partition per station).
+``chunk_rows="auto"`` (the default) measures the largest series first (one
+map-side-combined count of the key column): when every series fits in
+``CHUNK_ROWS`` the plain form is already bounded and saves a full shuffle;
+otherwise the chunked form runs.
 """
 
 from __future__ import annotations
@@ -52,6 +56,16 @@ def row_index(df: DataFrame, spec: SeriesSpec, bucket: str = INDEX_BUCKET) -> Da
             .drop("_off", "_bkt"))
 
 
+def resolve_chunk_rows(df: DataFrame, spec: SeriesSpec, chunk_rows):
+    """``"auto"`` → None (plain) when the largest series has at most
+    ``CHUNK_ROWS`` rows, else ``CHUNK_ROWS``; other values pass through."""
+    if chunk_rows != "auto":
+        return chunk_rows
+    largest = (df.groupBy(spec.station).agg(F.count(F.lit(1)).alias("_n"))
+               .agg(F.max("_n").alias("m")).first()["m"])
+    return None if (largest or 0) <= CHUNK_ROWS else CHUNK_ROWS
+
+
 def indexed(df: DataFrame, spec: SeriesSpec, chunk_rows: int | None = CHUNK_ROWS,
             bucket: str = INDEX_BUCKET) -> DataFrame:
     """Adds ``_rix`` and ``_chunk`` (``_chunk`` is 0 in the plain form)."""
@@ -67,24 +81,25 @@ def chunk_window(spec: SeriesSpec) -> WindowSpec:
 
 
 def with_halo(d: DataFrame, halo: int, chunk_rows: int | None) -> DataFrame:
-    """Union of the rows (``_h`` false) and copies of each chunk's last ``halo``
-    rows assigned to the next chunk (``_h`` true)."""
-    base = d.withColumn("_h", F.lit(False))
+    """Each row (``_h`` false) plus, for each chunk's last ``halo`` rows, a copy
+    assigned to the next chunk (``_h`` true): one ``explode``, one pass."""
     if chunk_rows is None or halo <= 0:
-        return base
+        return d.withColumn("_h", F.lit(False))
     if halo > chunk_rows:
         raise ValueError("halo must not exceed chunk_rows")
-    tail = (d.where(F.pmod(F.col("_rix"), F.lit(chunk_rows)) >= chunk_rows - halo)
-            .withColumn("_chunk", F.col("_chunk") + 1)
-            .withColumn("_h", F.lit(True)))
-    return base.unionByName(tail)
+    tail = F.pmod(F.col("_rix"), F.lit(chunk_rows)) >= chunk_rows - halo
+    targets = F.when(tail, F.array(F.col("_chunk"), F.col("_chunk") + 1)).otherwise(F.array(F.col("_chunk")))
+    others = [c for c in d.columns if c != "_chunk"]
+    e = d.select(*others, F.col("_chunk").alias("_home"), F.explode(targets).alias("_chunk"))
+    return e.withColumn("_h", F.col("_chunk") != F.col("_home")).drop("_home")
 
 
 def windowed(df: DataFrame, spec: SeriesSpec, build: Callable[[WindowSpec], list[Column]],
-             halo: int, chunk_rows: int | None = CHUNK_ROWS, keep_index: bool = False,
+             halo: int, chunk_rows="auto", keep_index: bool = False,
              bucket: str = INDEX_BUCKET) -> DataFrame:
     """Evaluates ``build(w)`` (window Columns whose ROWS frames reach at most
     ``halo`` rows back and none forward) per series, chunked."""
+    chunk_rows = resolve_chunk_rows(df, spec, chunk_rows)
     d = indexed(df, spec, chunk_rows, bucket)
     d = with_halo(d, halo, chunk_rows)
     out = d.select("*", *build(chunk_window(spec))).where(~F.col("_h")).drop("_h")
@@ -96,7 +111,7 @@ def lag_columns(w: WindowSpec, cols, lags) -> list[Column]:
 
 
 def lags(df: DataFrame, spec: SeriesSpec, cols=DEFAULT_LAG_VARS, lags=DEFAULT_LAGS,
-         chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+         chunk_rows="auto") -> DataFrame:
     """``{c}_lag_{k}h`` = value k rows earlier in the same station."""
     return windowed(df, spec, lambda w: lag_columns(w, cols, lags), max(lags), chunk_rows)
 
@@ -121,7 +136,7 @@ def rolling_columns(w: WindowSpec, cols, windows, stats=("ma", "std", "min", "ma
 
 def rolling(df: DataFrame, spec: SeriesSpec, cols=DEFAULT_ROLL_VARS, windows=DEFAULT_WINDOWS,
             stats=("ma", "std", "min", "max"), min_periods: int = 1, leak_free: bool = False,
-            chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+            chunk_rows="auto") -> DataFrame:
     """Rolling mean/sample std/min/max over the last k rows (incl. current
     unless ``leak_free``), NULLs ignored, ``min_periods`` non-NULL values required."""
     halo = max(windows) if leak_free else max(windows) - 1
@@ -140,7 +155,7 @@ def rolling_range(df: DataFrame, spec: SeriesSpec, cols, hours, stats=("ma",)) -
 
 
 def time_series_features(df: DataFrame, spec: SeriesSpec, lag_vars, lag_list, roll_vars, windows,
-                         chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+                         chunk_rows="auto") -> DataFrame:
     """W01 + W02 in one select: one exchange and one sort feed every window column."""
     halo = max(max(lag_list), max(windows) - 1)
     return windowed(df, spec, lambda w: lag_columns(w, lag_vars, lag_list)
@@ -148,7 +163,7 @@ def time_series_features(df: DataFrame, spec: SeriesSpec, lag_vars, lag_list, ro
 
 
 def run_length(df: DataFrame, spec: SeriesSpec, predicate: Column, min_run: int,
-               chunk_rows: int | None = CHUNK_ROWS, out: str = "run_position") -> DataFrame:
+               chunk_rows="auto", out: str = "run_position") -> DataFrame:
     """Position of each row inside its run of consecutive rows meeting
     ``predicate`` (NULL outside runs) and ``{out}_flag`` = position ≥ ``min_run``.
 
@@ -156,6 +171,7 @@ def run_length(df: DataFrame, spec: SeriesSpec, predicate: Column, min_run: int,
     one-row halo; the last start before each chunk is a prefix max over the
     small per-chunk summary table.
     """
+    chunk_rows = resolve_chunk_rows(df, spec, chunk_rows)
     d = indexed(df.withColumn("_p", F.coalesce(predicate, F.lit(False))), spec, chunk_rows)
     d = with_halo(d, 1, chunk_rows)
     w = chunk_window(spec)

@@ -14,13 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.operators.features import CHUNK_ROWS, windowed
+from stationflow.operators.features import windowed
 from stationflow.spec import SeriesSpec
 
 
 def sequences(df: DataFrame, spec: SeriesSpec, features: list[str], target: str, length: int,
               label: str = "next", stride: int = 1, drop_tail: bool = False,
-              chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+              chunk_rows="auto") -> DataFrame:
     """W04/W05 (``label='next'``): x = rows [t−L, t−1], y = target at t.
     W06 (``label='last'``): x = rows [t−L+1, t], y = target at t;
     ``drop_tail=True`` also drops each station's final row (n − L sequences).

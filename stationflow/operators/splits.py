@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Default split bounds (midnight timestamps, T5).
@@ -25,6 +25,20 @@ def split_column(time: str, train_end: str, val_end: str, inclusive_day: bool =
     return F.when(t <= b1, "train").when(t <= b2, "val").otherwise("test")
 
 
+def split_predicate(time: str, split: str, train_end: str = TRAIN_END, val_end: str = VAL_END) -> Column:
+    """F03 as a plain range predicate for one split, so that selecting a split
+    pushes ``time <= bound`` / ``time > bound`` down to the Parquet scan."""
+    t = F.col(time)
+    b1, b2 = F.to_timestamp_ntz(F.lit(train_end)), F.to_timestamp_ntz(F.lit(val_end))
+    if split == "train":
+        return t <= b1
+    if split == "val":
+        return (t > b1) & (t <= b2)
+    if split == "test":
+        return t > b2
+    raise ValueError(split)
+
+
 def chrono_split(df: DataFrame, time: str = "datetime", train_end: str = TRAIN_END,
                  val_end: str = VAL_END, inclusive_day: bool = False) -> DataFrame:
     """one table with a ``split`` column (write with ``partitionBy('split')``)."""

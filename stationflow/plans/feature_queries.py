@@ -9,6 +9,7 @@ from stationflow.operators import features as FE
 from stationflow.operators import prep as P
 from stationflow.operators import splits as S
 from stationflow.operators.quality import completeness
+from stationflow.operators.splits import split_predicate
 from stationflow.plans.obs_queries import EV_TRAIN_END, EV_VAL_END, SPLIT_SQL
 from stationflow.plans.registry import query, rnd, round_doubles
 from stationflow.sources.tables import OBS_SQL, observations, read_table
@@ -272,7 +273,7 @@ def q_impute_fit_apply(spark, d):
     """A19 + P14: train medians (exact) fill every split."""
     g = with_gaps(spark, d)
     cols = ["temperature", "dewpoint"]
-    med = P.fit_impute(g.where(F.col("split") == "train"), cols)
+    med = P.fit_impute(g.where(split_predicate("datetime", "train", EV_TRAIN_END, EV_VAL_END)), cols)
     return round_doubles(P.apply_impute(g, med, cols).select("event_id", "split", *cols))
 
 

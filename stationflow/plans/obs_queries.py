@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stationflow.operators import labels as L
 from stationflow.operators import quality as Q
 from stationflow.operators import thresholds as TH
-from stationflow.operators.splits import split_column
+from stationflow.operators.splits import split_column, split_predicate
 from stationflow.plans.registry import query, rnd, round_doubles
 from stationflow.sources.tables import OBS_SQL, observations
 from stationflow.spec import OBS_SPEC
@@ -29,9 +29,14 @@ def obs_split(spark, d):
     return o.select("*", split_column("datetime", EV_TRAIN_END, EV_VAL_END).alias("split"))
 
 
+def train_rows(spark, d):
+    """The train split as a range predicate (pushed to the scan)."""
+    return observations(spark, d).where(split_predicate("datetime", "train", EV_TRAIN_END, EV_VAL_END))
+
+
 def train_thresholds(spark, d):
     """A11 fitted on the train split only."""
-    return TH.thresholds(obs_split(spark, d).where(F.col("split") == "train"))
+    return TH.thresholds(train_rows(spark, d))
 
 
 # SQL pieces shared by the oracle queries.
@@ -293,7 +298,7 @@ c AS (SELECT extreme_event, COUNT(*) AS n FROM lab WHERE split = 'train' GROUP B
 SELECT extreme_event, n, ROUND(SUM(n) OVER () / (COUNT(*) OVER () * n), 6) AS weight FROM c""")
 def q_class_weights(spark, d):
     """A16 on the train split."""
-    w = L.class_weights(labeled(spark, d).where(F.col("split") == "train"), "extreme_event")
+    w = L.class_weights(labeled(spark, d).where(split_predicate("datetime", "train", EV_TRAIN_END, EV_VAL_END)), "extreme_event")
     return w.select("extreme_event", "n", rnd("weight").alias("weight"))
 
 
@@ -303,7 +308,7 @@ SELECT ROUND(max(n) * 1.0 / min(n), 6) AS imbalance_ratio, max(n) AS max_count,
   max(n) * 1.0 / min(n) > 20 AS use_focal, max(n) * 1.0 / min(n) > 50 AS focal_mandatory FROM c""")
 def q_imbalance(spark, d):
     """A17."""
-    r = L.imbalance(labeled(spark, d).where(F.col("split") == "train"), "extreme_event")
+    r = L.imbalance(labeled(spark, d).where(split_predicate("datetime", "train", EV_TRAIN_END, EV_VAL_END)), "extreme_event")
     return r.select(rnd("imbalance_ratio").alias("imbalance_ratio"), "max_count", "min_count",
                     "use_focal", "focal_mandatory")
 

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from stationflow.operators import forecast as FC
 from stationflow.operators import prep as P
-from stationflow.plans.obs_queries import SPLIT_SQL, TH_SQL, obs_split, train_thresholds
+from stationflow.operators.splits import split_predicate
+from stationflow.plans.obs_queries import EV_TRAIN_END, EV_VAL_END, SPLIT_SQL, TH_SQL, obs_split, train_thresholds
 from stationflow.plans.registry import query, rnd
 from stationflow.plans.rule_queries import EVENT_SQL, LEVEL_SQL, RULE_SQL
 from stationflow.session import work_path
@@ -47,13 +48,13 @@ def consume(spark, d, name: str):
 def fitted_model(spark, d):
     """Batch fit on train: median impute, population scale, OLS of the
     temperature on the scaled dew point."""
+    is_train = split_predicate("datetime", "train", EV_TRAIN_END, EV_VAL_END)
     o = obs_split(spark, d)
-    train = o.where(F.col("split") == "train")
-    med = P.param_values(P.fit_impute(train, ["dewpoint"]))
+    med = P.param_values(P.fit_impute(o.where(is_train), ["dewpoint"]))
     imputed = P.apply_impute(o, med, ["dewpoint"])
-    sc = P.param_values(P.fit_scale(imputed.where(F.col("split") == "train"), ["dewpoint"]))
+    sc = P.param_values(P.fit_scale(imputed.where(is_train), ["dewpoint"]))
     scaled = P.apply_scale(imputed, sc, ["dewpoint"]).withColumnRenamed("dewpoint", "dewpoint_scaled")
-    m = FC.fit_linear(scaled.where(F.col("split") == "train"), ["dewpoint_scaled"], "temperature")
+    m = FC.fit_linear(scaled.where(is_train), ["dewpoint_scaled"], "temperature")
     return (med["median_dewpoint"], (sc["mean_dewpoint"], sc["std_dewpoint"]), float(m.coefficients[0]),
             float(m.intercept))
 
