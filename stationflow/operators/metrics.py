@@ -2,8 +2,8 @@
 
 All metrics are aggregates over ``(truth, prediction/score)`` columns, so
 they run where the scores are (no collect). Cumulative sums over the score
-order (AUC, ROC) avoid a single-partition window: distinct scores are
-pre-aggregated, cut into equal-width score buckets, each bucket's offset comes
+order (AUC, ROC) avoid a single-partition window over rows: distinct scores
+are pre-aggregated, cut into ordered score buckets, each bucket's offset comes
 from a prefix sum over the small bucket-total table, and the running sum
 inside a bucket is a window partitioned by bucket.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCORE_BUCKETS = 1024
+SCORE_BUCKETS = 4096
 
 
 def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
@@ -101,18 +101,18 @@ def _score_counts(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame
 def cumulative(g: DataFrame, by: list[str], order: str, cols: list[str], descending: bool = False,
                buckets: int = SCORE_BUCKETS) -> DataFrame:
     """Adds ``cum_{c}`` = sum of ``c`` over rows with order value ≤ (or ≥ when
-    descending) the row's, within ``by``; exact, bucketed as described above."""
-    if not by:
-        return cumulative(g.withColumn("_all", F.lit(0)), ["_all"], order, cols, descending,
-                          buckets).drop("_all")
+    descending) the row's, within ``by``; exact. ``g`` holds one row per
+    (by, order value). Buckets come from a fixed monotone map of the value
+    (``atan`` squeezes any double into a bounded range), so no range pass is
+    needed: only ordering matters for exactness, not equal bucket sizes."""
     o = F.col(order)
-    rng = g.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / buckets).otherwise(F.lit(1.0))
-    b = F.least(F.floor((o - F.col("_lo")) / width), F.lit(buckets - 1)).cast("int")
+    b = F.least(F.floor((F.atan(o) / F.lit(3.141592653589793) + F.lit(0.5)) * buckets),
+                F.lit(buckets - 1)).cast("int")
     if descending:
         b = F.lit(buckets - 1) - b
-    gb = g.join(rng, by, "left").select(*g.columns, b.alias("_b"))
+    gb = g.select(*g.columns, b.alias("_b"))
     tot = gb.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    # prefix over bucket totals: at most `buckets` rows per group
     wb = Window.partitionBy(*by).orderBy("_b")
     offs = tot.select(*by, "_b", *[(F.sum(f"_t_{c}").over(wb) - F.col(f"_t_{c}")).alias(f"_o_{c}") for c in cols])
     j = gb.join(offs, [*by, "_b"], "left")
@@ -148,13 +148,12 @@ def auc_ovr(df: DataFrame, y: str, prob_cols: dict[int, str]) -> DataFrame:
 
 def roc_points(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
     """One point per distinct score threshold (descending): fpr, tpr."""
-    keys = by or ["_all"]
-    d = df if by else df.withColumn("_all", F.lit(0))
-    g = _score_counts(d, y, score, keys)
-    c = cumulative(g, keys, "s", ["pos", "neg"], descending=True)
-    tot = g.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    j = c.join(tot, keys, "left")
-    return j.select(*(by or []), F.col("s").alias("threshold"),
+    by = by or []
+    g = _score_counts(df, y, score, by)
+    c = cumulative(g, by, "s", ["pos", "neg"], descending=True)
+    w = Window.partitionBy(*by)
+    j = c.select("*", F.sum("pos").over(w).alias("_P"), F.sum("neg").over(w).alias("_N"))
+    return j.select(*by, F.col("s").alias("threshold"),
                     F.try_divide(F.col("cum_neg"), F.col("_N")).alias("fpr"),
                     F.try_divide(F.col("cum_pos"), F.col("_P")).alias("tpr"))
 
