@@ -44,9 +44,20 @@ DEFAULT_LAG_VARS = ("temperature", "dewpoint", "sea_level_pressure")
 DEFAULT_ROLL_VARS = ("temperature", "dewpoint")
 
 
+# Width of an index bucket when the series is ordered by a number instead of a time.
+INDEX_NUMERIC_WIDTH = 1024
+
+
+def _bucket_expr(df: DataFrame, time: str, bucket: str) -> Column:
+    typ = dict(df.dtypes)[time]
+    if typ.startswith("timestamp") or typ == "date":
+        return F.date_trunc(bucket, F.col(time))
+    return F.floor(F.col(time) / F.lit(INDEX_NUMERIC_WIDTH))
+
+
 def row_index(df: DataFrame, spec: SeriesSpec, bucket: str = INDEX_BUCKET) -> DataFrame:
     """Adds ``_rix``: 0-based position of the row in its series order."""
-    d = df.withColumn("_bkt", F.date_trunc(bucket, F.col(spec.time)))
+    d = df.withColumn("_bkt", _bucket_expr(df, spec.time, bucket))
     counts = d.groupBy(spec.station, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     wb = Window.partitionBy(spec.station).orderBy("_bkt")
     offs = counts.select(spec.station, "_bkt", (F.sum("_cnt").over(wb) - F.col("_cnt")).alias("_off"))
