@@ -46,6 +46,42 @@ CLIMATE_RULES = [
      "description": "Gel prolongé: température 0-2°C sur 48h"},
 ]
 
+# Fixed-band severity design on the temperature itself
+# (heat above 33, cold below -5; numeric alert level 3 when extreme, else 2).
+FIXED_BAND_RULES = [
+    {"name": "CANICULE_MODERATE", "conditions": [("temperature", ">", 33.0), ("temperature", "<", 37.0)],
+     "event_type": "CANICULE", "severity": "MODERE", "alert_level": "2", "confidence": 1.0,
+     "description": "Canicule: 33-37"},
+    {"name": "CANICULE_SEVERE", "conditions": [("temperature", ">=", 37.0), ("temperature", "<", 42.0)],
+     "event_type": "CANICULE", "severity": "SEVERE", "alert_level": "2", "confidence": 1.0,
+     "description": "Canicule: 37-42"},
+    {"name": "CANICULE_EXTREME", "conditions": [("temperature", ">=", 42.0)],
+     "event_type": "CANICULE", "severity": "EXTREME", "alert_level": "3", "confidence": 1.0,
+     "description": "Canicule: >= 42"},
+    {"name": "FROID_MODERATE", "conditions": [("temperature", "<", -5.0), ("temperature", ">", -10.0)],
+     "event_type": "VAGUE_FROID", "severity": "MODERE", "alert_level": "2", "confidence": 1.0,
+     "description": "Vague de froid: -5 a -10"},
+    {"name": "FROID_SEVERE", "conditions": [("temperature", "<=", -10.0), ("temperature", ">", -20.0)],
+     "event_type": "VAGUE_FROID", "severity": "SEVERE", "alert_level": "2", "confidence": 1.0,
+     "description": "Vague de froid: -10 a -20"},
+    {"name": "FROID_EXTREME", "conditions": [("temperature", "<=", -20.0)],
+     "event_type": "VAGUE_FROID", "severity": "EXTREME", "alert_level": "3", "confidence": 1.0,
+     "description": "Vague de froid: <= -20"},
+]
+# Two-level variant (high above 40 / below -15, else medium).
+TWO_LEVEL_RULES = [
+    {"name": "CANICULE_HIGH", "conditions": [("temperature", ">", 40.0)], "event_type": "CANICULE",
+     "severity": "SEVERE", "alert_level": "high", "confidence": 1.0, "description": "Canicule high"},
+    {"name": "CANICULE_MEDIUM", "conditions": [("temperature", ">", 33.0), ("temperature", "<=", 40.0)],
+     "event_type": "CANICULE", "severity": "MODERE", "alert_level": "medium", "confidence": 1.0,
+     "description": "Canicule medium"},
+    {"name": "FROID_HIGH", "conditions": [("temperature", "<", -15.0)], "event_type": "VAGUE_FROID",
+     "severity": "SEVERE", "alert_level": "high", "confidence": 1.0, "description": "Froid high"},
+    {"name": "FROID_MEDIUM", "conditions": [("temperature", "<", -5.0), ("temperature", ">=", -15.0)],
+     "event_type": "VAGUE_FROID", "severity": "MODERE", "alert_level": "medium", "confidence": 1.0,
+     "description": "Froid medium"},
+]
+
 # Default conclusion when no rule fires.
 NO_ALERT = {"event_inferred": "NORMAL", "severity_inferred": "NORMAL",
             "alert_level_inferred": "VERT", "confidence_inferred": 1.0, "rule_triggered": "NONE"}
