@@ -60,33 +60,45 @@ def confusion(df: DataFrame, y: str, p: str, classes: list[int], by: list[str] |
 
 
 def prf(conf: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """A24 from A23: per-class precision, recall, F1, support; then macro,
-    weighted and accuracy rows. 0/0 → 0."""
+    """A24 from A23 in one pass: each cell contributes its count to the truth
+    class (support, true positives) and to the predicted class (predicted
+    count); one aggregate gives the per-class rows, a window over those few
+    rows gives macro / weighted / accuracy, emitted once per group. 0/0 → 0."""
     by = by or []
-    tp = conf.where(F.col("y") == F.col("y_hat")).select(*by, F.col("y").alias("cls"), F.col("n").alias("tp"))
-    pred = conf.groupBy(*by, F.col("y_hat").alias("cls")).agg(F.sum("n").alias("pred_n"))
-    sup = conf.groupBy(*by, F.col("y").alias("cls")).agg(F.sum("n").alias("support"))
-    j = tp.join(pred, [*by, "cls"]).join(sup, [*by, "cls"])
+    y, yh, n = F.col("y"), F.col("y_hat"), F.col("n")
+    zero = F.lit(0).cast("long")
+    cells = F.array(F.struct(y.alias("cls"), n.alias("support"), F.when(y == yh, n).otherwise(zero).alias("tp"),
+                             zero.alias("pred_n")),
+                    F.struct(yh.alias("cls"), zero.alias("support"), zero.alias("tp"), n.alias("pred_n")))
+    per = (conf.select(*by, F.explode(cells).alias("c")).select(*by, "c.*")
+           .groupBy(*by, "cls").agg(F.sum("support").alias("support"), F.sum("tp").alias("tp"),
+                                    F.sum("pred_n").alias("pred_n")))
     prec = F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
-    per = j.select(*by, F.col("cls").cast("string").alias("class"), prec.alias("precision"),
-                   rec.alias("recall"), "support", "tp")
-    per = per.select("*", F.when(F.col("precision") + F.col("recall") > 0,
-                                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-                     .otherwise(0.0).alias("f1"))
-    tot = per.groupBy(*by).agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
-        F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("acc"))
-    macro = tot.select(*by, F.lit("macro").alias("class"), F.col("mp").alias("precision"),
-                       F.col("mr").alias("recall"), F.col("mf").alias("f1"), F.col("n").alias("support"))
-    weighted = tot.select(*by, F.lit("weighted").alias("class"), F.col("wp").alias("precision"),
-                          F.col("wr").alias("recall"), F.col("wf").alias("f1"), F.col("n").alias("support"))
-    acc = tot.select(*by, F.lit("accuracy").alias("class"), F.col("acc").alias("precision"),
-                     F.col("acc").alias("recall"), F.col("acc").alias("f1"), F.col("n").alias("support"))
-    return per.drop("tp").unionByName(macro).unionByName(weighted).unionByName(acc)
+    per = per.select("*", prec.alias("precision"), rec.alias("recall"))
+    pr, rc = F.col("precision"), F.col("recall")
+    per = per.select("*", F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).otherwise(0.0).alias("f1"))
+    w = Window.partitionBy(*by)
+    tot = F.sum("support").over(w)
+    wcols = {
+        "_mp": F.avg("precision").over(w), "_mr": F.avg("recall").over(w), "_mf": F.avg("f1").over(w),
+        "_wp": F.sum(pr * F.col("support")).over(w) / tot, "_wr": F.sum(rc * F.col("support")).over(w) / tot,
+        "_wf": F.sum(F.col("f1") * F.col("support")).over(w) / tot,
+        "_acc": F.sum("tp").over(w) / tot, "_tot": tot,
+        "_first": F.row_number().over(w.orderBy("cls")) == 1,
+    }
+    per = per.select("*", *[v.alias(k) for k, v in wcols.items()])
+
+    def row(name, p, r, f, sup):
+        return F.struct(name.alias("class"), p.alias("precision"), r.alias("recall"), f.alias("f1"),
+                        sup.alias("support"))
+    c = F.col
+    own = row(c("cls").cast("string"), pr, rc, c("f1"), c("support"))
+    extra = [row(F.lit("macro"), c("_mp"), c("_mr"), c("_mf"), c("_tot")),
+             row(F.lit("weighted"), c("_wp"), c("_wr"), c("_wf"), c("_tot")),
+             row(F.lit("accuracy"), c("_acc"), c("_acc"), c("_acc"), c("_tot"))]
+    rows = F.when(c("_first"), F.array(own, *extra)).otherwise(F.array(own))
+    return per.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
 
 
 def _score_counts(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
