@@ -159,15 +159,22 @@ def auc_ovr(df: DataFrame, y: str, prob_cols: dict[int, str]) -> DataFrame:
 
 
 def roc_points(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """One point per distinct score threshold (descending): fpr, tpr."""
+    """One point per distinct score threshold (descending): fpr, tpr.
+    Class totals come from an aggregate joined by group (no window over all
+    distinct scores)."""
     by = by or []
     g = _score_counts(df, y, score, by)
     c = cumulative(g, by, "s", ["pos", "neg"], descending=True)
-    w = Window.partitionBy(*by)
-    j = c.select("*", F.sum("pos").over(w).alias("_P"), F.sum("neg").over(w).alias("_N"))
+    if by:
+        tot = g.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+        j = c.join(tot, by, "left")
+        P, N = F.col("_P"), F.col("_N")
+    else:
+        t = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+        j, P, N = c, F.lit(t["P"]), F.lit(t["N"])
     return j.select(*by, F.col("s").alias("threshold"),
-                    F.try_divide(F.col("cum_neg"), F.col("_N")).alias("fpr"),
-                    F.try_divide(F.col("cum_pos"), F.col("_P")).alias("tpr"))
+                    F.try_divide(F.col("cum_neg"), N).alias("fpr"),
+                    F.try_divide(F.col("cum_pos"), P).alias("tpr"))
 
 
 def binary_station_metrics(df: DataFrame, station: str, y: str, p: str, cut: float = 0.5,
