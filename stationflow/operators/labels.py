@@ -52,6 +52,18 @@ def label_binary(df: DataFrame, th: DataFrame, station: str = "station_id",
     return j.select(*df.columns, lab.alias(out))
 
 
+def label_both(df: DataFrame, th: DataFrame, station: str = "station_id", value: str = "temperature",
+               low: str = "temp_p10", high: str = "temp_p90") -> DataFrame:
+    """R01 and R02 from one join with the thresholds (``extreme_event`` and
+    ``is_extreme_event``)."""
+    cols = ["temp_p99", "temp_p95", "temp_p05", "temp_p01", low, high]
+    j = with_thresholds(df, th.select(station, *dict.fromkeys(cols)), station)
+    t = F.col(value)
+    five = adaptive_label(t, F.col("temp_p99"), F.col("temp_p95"), F.col("temp_p05"), F.col("temp_p01"))
+    binary = F.when((t < F.col(low)) | (t > F.col(high)), 1).otherwise(0)
+    return j.select(*df.columns, five.alias("extreme_event"), binary.alias("is_extreme_event"))
+
+
 def rolling_mean_min_periods(value: str, w, window: int = 48, min_periods: int = 24) -> Column:
     """Mean over the last ``window`` rows (incl. current) of the ordered
     window ``w``, NULL until ``min_periods`` non-NULL values are in the frame."""

@@ -25,7 +25,7 @@ def scored(spark, d):
     """event_id, station_id, split, temperature, y5, yb, p, yhat5."""
     o = obs_split(spark, d)
     th = train_thresholds(spark, d)
-    lab = L.label_binary(L.label_adaptive(o, th), th)
+    lab = L.label_both(o, th)
     return lab.select("event_id", "station_id", "split", "temperature",
                       F.col("extreme_event").alias("y5"), F.col("is_extreme_event").alias("yb"),
                       (F.col("dewpoint") / 100.0).alias("p"),
@@ -121,8 +121,6 @@ def q_auc(spark, d):
     return round_doubles(M.auc(scored(spark, d), "yb", "p"))
 
 
-OVR_SCORE = "1 - abs(p - {c})"
-
 
 @query("auc_ovr", SCORED_SQL + """,
 long AS (SELECT k.cls, 1 - abs(sc.p - (2 * k.cls + 1) / 10.0) AS s, CAST(sc.y5 = k.cls AS INTEGER) AS y
