@@ -1,5 +1,8 @@
 """Window features over keyed series (W01–W03, W09, F08) in a skew-proof form.
 
+New feature columns are added by one ``select`` over the same rows, which
+replaces the positional column concatenation of the reference (J06).
+
 A plain ``Window.partitionBy(station)`` puts a whole station in one task; a
 weather network has few stations and one may hold a third of all rows. Here
 every ROWS-frame feature is evaluated over *chunks*:

@@ -119,8 +119,14 @@ def argmax_class(probs: Column) -> Column:
     return F.array_position(probs, F.array_max(probs)).cast("int") - 1
 
 
+def class_rows(df: DataFrame, label: str, cls: int) -> DataFrame:
+    """the rows of one class."""
+    return df.where(F.col(label) == cls)
+
+
 def class_distribution(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
-    """Count and % per class (within each ``by`` group)."""
+    """A15 + W11: count and % per class (share of the group total by a window
+    over the aggregated counts)."""
     by = by or []
     counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*by) if by else Window.partitionBy()

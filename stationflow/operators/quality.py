@@ -24,7 +24,8 @@ def overview(df: DataFrame, spec: SeriesSpec, year: Column | None = None) -> Dat
 
 
 def group_share(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Count and % of all rows per group (share window over the groups)."""
+    """A02 + W11: count and % of all rows per group (share window over the
+    aggregated groups, one row per group)."""
     g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
     return g.select("*", (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).alias("pct"))
 

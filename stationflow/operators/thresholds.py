@@ -1,4 +1,7 @@
-"""Per-station statistics and exceedance profiles.
+"""Per-station statistics and exceedance profiles.
+
+The reference loops over stations with a filter per station (F05); here a
+station is a group key.
 
 Every statistic is one ``groupBy(station).agg`` with map-side partial
 aggregation, so a hot station never lands whole in one task: exact
@@ -68,7 +71,8 @@ def _pred(col: str, op: str, v: float) -> Column:
 
 
 def exceedance(df: DataFrame, by: str | list[str], preds: dict[str, Column]) -> DataFrame:
-    """Count and % of rows per group meeting each named predicate (one pass)."""
+    """A14 + F06: count and % of rows per group meeting each named threshold
+    predicate, all in one pass."""
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for name, p in preds.items():
         aggs.append(F.count_if(p).alias(f"{name}_count"))

@@ -28,7 +28,7 @@ PRESSURE_LINE = 104
 
 
 def read_fixed_width(spark: SparkSession, paths, min_len: int = MIN_LINE) -> DataFrame:
-    """Lines of the given files/globs (newline stripped; T2: the length
+    """S01 + F01: lines of the given files/globs (newline stripped; T2: the length
     test is on the stripped line) with the source path, short lines dropped."""
     lines = spark.read.option("lineSep", "\n").text(paths)
     v = F.regexp_replace("value", "\r$", "")
