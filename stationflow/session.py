@@ -31,6 +31,31 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+# Settings for a large cluster (100 TB inputs). Shuffles start with many
+# partitions and AQE coalesces them to the advisory size at run time, splits
+# skewed join partitions, and turns shuffle joins into broadcasts only when a
+# side is measured under the threshold.
+SCALE_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.windowExec.buffer.spill.threshold": str(1 << 20),
+}
+
+
+def apply_scale_conf(spark: SparkSession, overrides: dict | None = None) -> None:
+    """Sets every SCALE_CONF key the submitter has not set explicitly."""
+    conf = dict(SCALE_CONF, **(overrides or {}))
+    set_keys = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    for k, v in conf.items():
+        if k not in set_keys:
+            spark.conf.set(k, v)
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -85,6 +85,27 @@ def resolve_files(files: DataFrame, stations: DataFrame, start_year: int = START
     return best
 
 
+def read_station_files(spark: SparkSession, root: str, stations: DataFrame, start_year: int = START_YEAR,
+                       end_year: int = END_YEAR) -> tuple[DataFrame, DataFrame]:
+    """Resolve one file per (station, year), scan them all in one
+    multi-path text read, decode, tag each report with its station dimension
+    (J01) and list the (station, year) pairs with no file (J09).
+
+    Only the resolved path list (metadata, one entry per station-year) reaches
+    the driver; the reports themselves are read by the executors."""
+    from stationflow.sources.fixed_width import decode_fixed_width, read_fixed_width
+
+    chosen = resolve_files(list_files(spark, root), stations, start_year, end_year)
+    paths = [r["path"] for r in chosen.select("path").collect()]
+    missing = missing_grid(stations, start_year, end_year,
+                           chosen.select(F.col("station").alias("station_code"), "year"))
+    if not paths:
+        schema = decode_fixed_width(spark.createDataFrame([], "value string")).schema
+        return spark.createDataFrame([], schema), missing
+    obs = decode_fixed_width(read_fixed_width(spark, paths))
+    return with_station_dim(obs, stations), missing
+
+
 def missing_grid(stations: DataFrame, start_year: int, end_year: int, found: DataFrame | None,
                  station_col: str = "station_code") -> DataFrame:
     """Expected (station, year) pairs, minus those found (left anti).

@@ -65,14 +65,40 @@ def read_stream(spark: SparkSession, source: str, fmt: str = "files", max_per_tr
     return r.load(source)
 
 
-def decode_messages(stream: DataFrame, schema: T.StructType | str) -> DataFrame:
+def decode_messages(stream: DataFrame, schema: T.StructType | str, keep_raw: bool = False) -> DataFrame:
     """T-S1 + T-S5 + P21: parse with the explicit (fitted) schema: absent fields
     are NULL, extra keys are ignored; a message that does not parse gets
-    ``_poison`` = true and NULL data (count it and go on)."""
+    ``_poison`` = true and NULL data (count it and go on). ``keep_raw`` keeps
+    the message text for a dead-letter sink."""
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     d = stream.select(parsed.alias("data"), F.col("value"))
     poison = F.col("data").isNull() | ~F.col("value").startswith("{") | F.col("data._index").isNull()
-    return d.select("data.*", poison.alias("_poison"))
+    return d.select("data.*", poison.alias("_poison"), *(["value"] if keep_raw else []))
+
+
+def run_with_dead_letter(decoded: DataFrame, build, sink: str, dead_letter: str, checkpoint: str):
+    """T-S5 side output: each micro-batch writes its good rows, transformed by
+    ``build(batch_df)``, to ``sink`` and the raw text of its poison messages to
+    ``dead_letter``. Each batch goes to its own ``batch_id=`` folder with
+    overwrite, so a retried batch replaces its own output (exactly-once
+    effect with the checkpointed offsets)."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        good = build(batch.where(~F.col("_poison")).drop("value"))
+        good.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        bad = batch.where(F.col("_poison")).select("value")
+        bad.write.mode("overwrite").text(f"{dead_letter}/batch_id={batch_id}")
+    q = (decoded.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def progress_counters(query) -> dict:
+    """Rows and rates of the last micro-batch plus observed counters."""
+    p = query.lastProgress or {}
+    return {"input_rows": p.get("numInputRows"), "input_rows_per_sec": p.get("inputRowsPerSecond"),
+            "processed_rows_per_sec": p.get("processedRowsPerSecond"),
+            **(p.get("observedMetrics") or {}).get("counters", {})}
 
 
 def linear_score(features: dict[str, float], intercept: float) -> Column:
