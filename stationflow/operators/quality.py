@@ -145,6 +145,32 @@ def correlated_pairs(df: DataFrame, cols: list[str], threshold: float = 0.95) ->
             .select(F.split("pair", "__")[0].alias("a"), F.split("pair", "__")[1].alias("b"), "r"))
 
 
+# Name patterns of engineered features (lags, rolling stats,
+# cyclical encodings, interactions).
+ENGINEERED = r"(_lag_\d+h|_(ma|std|min|max)_\d+h|_sin|_cos|_diff|_product|_ratio|_interaction|_approx)$"
+
+
+def diagnosis(df: DataFrame, features: list[str], corr_threshold: float = 0.95, z: float = 3.0) -> DataFrame:
+    """Rows per feature, share of engineered features, number of highly
+    correlated feature pairs and % of |z| > z cells, as one row. Correlations
+    are one aggregate over the rows; z uses one population-stats row."""
+    import re
+
+    n_eng = sum(1 for c in features if re.search(ENGINEERED, c))
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    st = df.agg(*[x for c in features for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
+    zcount = [F.count_if(F.abs((F.col(c) - F.lit(st[f"m_{c}"])) / F.lit(st[f"s_{c}"])) > z)
+              for c in features if st[f"s_{c}"]]
+    high = [F.when(F.abs(F.corr(a, b)) > corr_threshold, 1).otherwise(0) for a, b in pairs]
+    n = F.count(F.lit(1))
+    return df.agg(
+        n.alias("n_rows"), F.lit(len(features)).alias("n_features"),
+        (n / F.lit(len(features))).alias("rows_per_feature"),
+        F.lit(n_eng / len(features)).alias("share_engineered"),
+        sum(high, F.lit(0)).alias("n_high_corr_pairs"),
+        (sum(zcount, F.lit(0)) * 100.0 / (n * F.lit(len(features)))).alias("outlier_cell_pct"))
+
+
 # Configured quality settings, declared but never applied upstream.
 QUALITY_BOUNDS = {"temperature": (-60.0, 60.0)}
 MISSING_CODES = (9999, 99999, 999999)

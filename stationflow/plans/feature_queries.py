@@ -295,3 +295,36 @@ SELECT ROUND(100.0 * (1.0 - (COUNT(*) - COUNT(temperature) + COUNT(*) - COUNT(de
 def q_completeness(spark, d):
     """A32 over the table with gaps (six columns)."""
     return round_doubles(completeness(with_gaps(spark, d)))
+
+
+D_FEATS = ["temperature", "dewpoint", "temperature_lag_1h", "temperature_lag_3h", "dewpoint_lag_1h",
+           "dewpoint_lag_3h", "temperature_ma_6h", "dewpoint_ma_6h"]
+
+
+def _diag_sql():
+    pairs = [(a, b) for i, a in enumerate(D_FEATS) for b in D_FEATS[i + 1:]]
+    high = " + ".join(f"CASE WHEN abs(corr({a}, {b})) > 0.95 THEN 1 ELSE 0 END" for a, b in pairs)
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in D_FEATS)
+    zc = " + ".join(f"COUNT(*) FILTER (WHERE abs(({c} - m_{c}) / s_{c}) > 3.0)" for c in D_FEATS)
+    return f"""WITH {OBS_SQL},
+f AS (SELECT *, lag(temperature, 1) OVER ({W_SQL}) AS temperature_lag_1h,
+  lag(temperature, 3) OVER ({W_SQL}) AS temperature_lag_3h, lag(dewpoint, 1) OVER ({W_SQL}) AS dewpoint_lag_1h,
+  lag(dewpoint, 3) OVER ({W_SQL}) AS dewpoint_lag_3h,
+  avg(temperature) OVER ({W_SQL} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS temperature_ma_6h,
+  avg(dewpoint) OVER ({W_SQL} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS dewpoint_ma_6h FROM obs),
+st AS (SELECT {stats} FROM f),
+c AS (SELECT COUNT(*) AS n, {high} AS n_high_corr_pairs FROM f),
+z AS (SELECT {zc} AS nz FROM f, st)
+SELECT c.n AS n_rows, {len(D_FEATS)} AS n_features, ROUND(c.n / {float(len(D_FEATS))}, 6) AS rows_per_feature,
+  ROUND(0.75, 6) AS share_engineered, CAST(c.n_high_corr_pairs AS INTEGER) AS n_high_corr_pairs,
+  ROUND(z.nz * 100.0 / (c.n * {len(D_FEATS)}), 6) AS outlier_cell_pct FROM c, z"""
+
+
+@query("diagnosis", _diag_sql())
+def q_diagnosis(spark, d):
+    """Diagnosis row over a lag/rolling feature table (8 features)."""
+    o = observations(spark, d)
+    f = FE.time_series_features(o, OBS_SPEC, Q_VARS, (1, 3), Q_VARS, (6,))
+    from stationflow.operators.quality import diagnosis
+    out = diagnosis(f, D_FEATS).withColumn("n_high_corr_pairs", F.col("n_high_corr_pairs").cast("int"))
+    return round_doubles(out)
