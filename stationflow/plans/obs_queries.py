@@ -93,7 +93,8 @@ def q_station_counts(spark, d):
         (SELECT l_orderkey, l_quantity FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 10) l
         ON o.o_orderkey = l.l_orderkey)
 ) UNPIVOT (n_null FOR column_name IN (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
-                                      o_orderpriority, l_quantity))""")
+                                      o_orderpriority, l_quantity))
+WHERE n_null > 0""")
 def q_null_profile(spark, d):
     """A03 on orders left-joined to a sparse lineitem attribute (so NULLs exist)."""
     from stationflow.sources.tables import read_table
@@ -101,7 +102,7 @@ def q_null_profile(spark, d):
     li = (read_table(spark, d, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_quantity") < 10))
           .select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity"))
     j = o.join(li, "o_orderkey", "left")
-    return round_doubles(Q.null_profile(j, only_missing=False))
+    return round_doubles(Q.null_profile(j))
 
 
 @query("numeric_summary", f"""WITH {OBS_SQL}
