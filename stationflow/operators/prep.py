@@ -95,9 +95,15 @@ def apply_scale(df: DataFrame, params, cols: list[str]) -> DataFrame:
     return df.select(*out)
 
 
-def fit_transform(df_split: DataFrame, cols: list[str], split: str = "split") -> DataFrame:
-    """The whole prep pipeline once (T19): impute with train medians, then
-    scale with train mean/std of the imputed values; every split transformed."""
+def fit_transform(df_split: DataFrame, cols: list[str], split: str = "split",
+                  materialize_input: bool = False) -> DataFrame:
+    """The whole prep chain once (T19): impute with train medians, then
+    scale with train mean/std of the imputed values; every split transformed.
+    ``materialize_input`` checkpoints an expensive input (e.g. a window
+    feature table) so the two fits and the transform read it once."""
+    if materialize_input:
+        from stationflow.session import materialize
+        df_split = materialize(df_split)
     train = df_split.where(F.col(split) == "train")
     med = fit_impute(train, cols)
     imputed = apply_impute(df_split, med, cols)

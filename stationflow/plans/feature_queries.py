@@ -328,3 +328,39 @@ def q_diagnosis(spark, d):
     from stationflow.operators.quality import diagnosis
     out = diagnosis(f, D_FEATS).withColumn("n_high_corr_pairs", F.col("n_high_corr_pairs").cast("int"))
     return round_doubles(out)
+
+
+ETL_COLS = ["relative_humidity", "temperature_lag_1h", "temperature_ma_6h", "dewpoint_lag_3h"]
+
+
+def _etl_sql():
+    lagw = f"OVER ({W_SQL})"
+    base = f"""WITH {OBS_SQL}, h AS (SELECT *, {RH_SQL} AS relative_humidity FROM obs),
+f AS (SELECT event_id, {SPLIT_SQL} AS split, relative_humidity,
+        sin(2 * pi() * hour(datetime) / 24.0) AS hour_sin,
+        lag(temperature, 1) {lagw} AS temperature_lag_1h, lag(dewpoint, 3) {lagw} AS dewpoint_lag_3h,
+        avg(temperature) OVER ({W_SQL} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS temperature_ma_6h FROM h),
+med AS (SELECT {", ".join(f"median({c}) AS md_{c}" for c in ETL_COLS)} FROM f WHERE split = 'train'),
+imp AS (SELECT f.event_id, f.split, f.hour_sin, {", ".join(f"COALESCE(f.{c}, md_{c}) AS {c}" for c in ETL_COLS)}
+        FROM f, med),
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in ETL_COLS)}
+       FROM imp WHERE split = 'train')
+SELECT event_id, split, ROUND(hour_sin, 6) AS hour_sin,
+  {", ".join(f"ROUND(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END, 6) AS {c}" for c in ETL_COLS)}
+FROM imp, st"""
+    return base
+
+
+@query("etl_features", _etl_sql())
+def q_etl_features(spark, d):
+    """E1 batch chain in one plan: derive (P09) → cyclical (P08) → lags and
+    rolling in one window (W01/W02) → chronological split (F03) → train
+    medians fill the NULLs the lags create (A19/P14) → train scaling
+    (A20/P15)."""
+    o = observations(spark, d)
+    h = D.humidity_and_heat(o)
+    f = FE.time_series_features(h, OBS_SPEC, ("temperature", "dewpoint"), (1, 3), ("temperature",), (6,))
+    f = S.chrono_split(f, "datetime", EV_TRAIN_END, EV_VAL_END)
+    f = f.select("event_id", "split", F.sin(F.lit(2 * 3.141592653589793) * F.hour("datetime") / F.lit(24.0))
+                 .alias("hour_sin"), *ETL_COLS)
+    return round_doubles(P.fit_transform(f, ETL_COLS, materialize_input=True))

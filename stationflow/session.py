@@ -80,6 +80,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df):
+    """Computes ``df`` once into the shared checkpoint folder and cuts its
+    lineage (``checkpoint``, never ``localCheckpoint``): later fits and
+    transforms read the stored rows instead of recomputing the plan, and a
+    lost executor does not force a recomputation from the sources."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for an intermediate table."""
     root = checkpoint_root(spark)
