@@ -11,7 +11,7 @@ from stationflow.operators import splits as S
 from stationflow.operators.quality import completeness
 from stationflow.operators.splits import split_predicate
 from stationflow.plans.obs_queries import EV_TRAIN_END, EV_VAL_END, SPLIT_SQL
-from stationflow.plans.registry import query, rnd, round_doubles
+from stationflow.plans.registry import query, round_doubles
 from stationflow.sources.tables import OBS_SQL, observations, read_table
 from stationflow.spec import OBS_SPEC
 

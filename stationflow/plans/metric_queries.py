@@ -14,7 +14,7 @@ from stationflow.operators import labels as L
 from stationflow.operators import metrics as M
 from stationflow.operators.features import lags
 from stationflow.plans.obs_queries import LABEL5_SQL, SPLIT_SQL, TH_SQL, obs_split, train_thresholds
-from stationflow.plans.registry import query, rnd, round_doubles
+from stationflow.plans.registry import query, round_doubles
 from stationflow.sources.tables import OBS_SQL
 from stationflow.spec import OBS_SPEC
 

@@ -3,7 +3,6 @@ model comparison."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stationflow.operators import compare as C

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from stationflow.operators import labels as L
 from stationflow.operators import rules as R
-from stationflow.plans.obs_queries import (LABELED_SQL, ROLL48_SQL, SPLIT_SQL, TH_SQL, obs_split,
-                                           train_thresholds)
+from stationflow.plans.obs_queries import LABELED_SQL, ROLL48_SQL, TH_SQL, train_thresholds
 from stationflow.plans.registry import query, rnd
 from stationflow.sources.tables import OBS_SQL, observations
 from stationflow.spec import OBS_SPEC
