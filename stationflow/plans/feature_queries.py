@@ -10,7 +10,7 @@ from stationflow.operators import prep as P
 from stationflow.operators import splits as S
 from stationflow.operators.quality import completeness
 from stationflow.operators.splits import split_predicate
-from stationflow.plans.obs_queries import EV_TRAIN_END, EV_VAL_END, SPLIT_SQL
+from stationflow.plans.obs_queries import EV_TRAIN_END, EV_VAL_END, SPLIT_SQL, TH_SQL
 from stationflow.plans.registry import query, round_doubles
 from stationflow.sources.tables import OBS_SQL, observations, read_table
 from stationflow.spec import OBS_SPEC
@@ -364,3 +364,23 @@ def q_etl_features(spark, d):
     f = f.select("event_id", "split", F.sin(F.lit(2 * 3.141592653589793) * F.hour("datetime") / F.lit(24.0))
                  .alias("hour_sin"), *ETL_COLS)
     return round_doubles(P.fit_transform(f, ETL_COLS, materialize_input=True))
+
+
+@query("run_length_p95", f"""WITH {OBS_SQL}, {TH_SQL},
+a AS (SELECT o.*, COALESCE(o.temperature > th.temp_p95, false) AS p,
+        row_number() OVER ({W_SQL.replace('station_id', 'o.station_id').replace('datetime', 'o.datetime')
+                            .replace('event_id', 'o.event_id')}) AS rn
+      FROM obs o LEFT JOIN th USING (station_id)),
+b AS (SELECT *, p AND NOT COALESCE(lag(p) OVER ({W_SQL}), false) AS st FROM a),
+c AS (SELECT *, max(CASE WHEN st THEN rn END) OVER ({W_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ls
+      FROM b)
+SELECT event_id, CASE WHEN p THEN rn - ls + 1 END AS run_position,
+  COALESCE(CASE WHEN p THEN rn - ls + 1 END >= 2, false) AS run_position_flag FROM c""")
+def q_run_length_p95(spark, d):
+    """W09 variant: runs of readings above the station's train p95 (adaptive
+    heat-wave persistence), flagged from the second consecutive row."""
+    from stationflow.operators.thresholds import with_thresholds
+    from stationflow.plans.obs_queries import train_thresholds
+    o = with_thresholds(observations(spark, d), train_thresholds(spark, d).select("station_id", "temp_p95"))
+    r = FE.run_length(o, OBS_SPEC, F.col("temperature") > F.col("temp_p95"), 2)
+    return r.select("event_id", "run_position", "run_position_flag")
