@@ -37,8 +37,12 @@ from stationflow.spec import SeriesSpec
 
 # Rows per window chunk; bounds the largest group any window task sees.
 CHUNK_ROWS = 1 << 20
-# Time bucket used to number rows without a whole-series window.
-INDEX_BUCKET = "day"
+# Time bucket used to number rows without a whole-series window. "auto"
+# tries day, hour, minute and keeps the first unit whose largest
+# (station, bucket) group fits CHUNK_ROWS, so a station holding a third of
+# the data never puts a third of a day into one row-numbering task.
+INDEX_BUCKET = "auto"
+BUCKET_UNITS = ("day", "hour", "minute")
 
 # Default lag and rolling parameters (rows).
 DEFAULT_LAGS = (1, 3, 6, 12, 24, 48, 168)
@@ -58,10 +62,23 @@ def _bucket_expr(df: DataFrame, time: str, bucket: str) -> Column:
     return F.floor(F.col(time) / F.lit(INDEX_NUMERIC_WIDTH))
 
 
+def _bucket_counts(df: DataFrame, spec: SeriesSpec, bucket: str):
+    d = df.withColumn("_bkt", _bucket_expr(df, spec.time, bucket))
+    return d, d.groupBy(spec.station, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+
+
 def row_index(df: DataFrame, spec: SeriesSpec, bucket: str = INDEX_BUCKET) -> DataFrame:
     """Adds ``_rix``: 0-based position of the row in its series order."""
-    d = df.withColumn("_bkt", _bucket_expr(df, spec.time, bucket))
-    counts = d.groupBy(spec.station, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    if bucket == "auto":
+        typ = dict(df.dtypes)[spec.time]
+        units = BUCKET_UNITS if (typ.startswith("timestamp") or typ == "date") else ("day",)
+        for unit in units:
+            d, counts = _bucket_counts(df, spec, unit)
+            largest = counts.agg(F.max("_cnt").alias("m")).first()["m"] or 0
+            if largest <= CHUNK_ROWS:
+                break
+    else:
+        d, counts = _bucket_counts(df, spec, bucket)
     wb = Window.partitionBy(spec.station).orderBy("_bkt")
     offs = counts.select(spec.station, "_bkt", (F.sum("_cnt").over(wb) - F.col("_cnt")).alias("_off"))
     rn = F.row_number().over(Window.partitionBy(spec.station, "_bkt").orderBy(*spec.order_cols()))
