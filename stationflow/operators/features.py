@@ -131,6 +131,9 @@ def windowed(df: DataFrame, spec: SeriesSpec, build: Callable[[WindowSpec], list
     """Evaluates ``build(w)`` (window Columns whose ROWS frames reach at most
     ``halo`` rows back and none forward) per series, chunked."""
     chunk_rows = resolve_chunk_rows(df, spec, chunk_rows)
+    if chunk_rows is None and not keep_index:
+        # plain form: one exchange, one sort, one Window node for all columns
+        return df.select("*", *build(spec.window()))
     d = indexed(df, spec, chunk_rows, bucket)
     d = with_halo(d, halo, chunk_rows)
     out = d.select("*", *build(chunk_window(spec))).where(~F.col("_h")).drop("_h")
