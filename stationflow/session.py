@@ -19,6 +19,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # small local inputs: keep one task per core in CPU-heavy stages (windows)
+        # instead of coalescing a few MB of shuffle data into one or two tasks
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
