@@ -217,7 +217,7 @@ def run_length(df: DataFrame, spec: SeriesSpec, predicate: Column, min_run: int,
     carry = summary.select(spec.station, "_chunk", F.max("_cmax").over(wc).alias("_carry"))
     d = d.join(carry, [spec.station, "_chunk"], "left")
     last = F.coalesce(F.max(start_ix).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carry"))
-    pos = F.when(F.col("_p"), F.col("_rix") - last + 1)
+    pos = F.when(F.col("_p"), F.col("_rix") - last + 1).cast("long")
     res = d.select("*", pos.alias(out))
     return (res.select("*", F.coalesce(F.col(out) >= min_run, F.lit(False)).alias(f"{out}_flag"))
             .drop("_p", "_start", "_carry", "_rix", "_chunk"))

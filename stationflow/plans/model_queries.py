@@ -26,7 +26,7 @@ def _seq_input(spark, d):
 s AS (SELECT event_id, CASE WHEN temperature >= 33.0 THEN 1 WHEN temperature <= -5.0 THEN 2 ELSE 0 END AS y,
   list([CAST(temperature AS FLOAT), CAST(dewpoint AS FLOAT)]) OVER ({SEQ_W}
        ROWS BETWEEN {SEQ_L} PRECEDING AND 1 PRECEDING) AS x FROM obs)
-SELECT event_id, len(x) AS seq_len, ROUND(CAST(x[1][1] AS DOUBLE), 6) AS first_temperature,
+SELECT event_id, CAST(len(x) AS INTEGER) AS seq_len, ROUND(CAST(x[1][1] AS DOUBLE), 6) AS first_temperature,
   ROUND(CAST(x[{SEQ_L}][1] AS DOUBLE), 6) AS last_temperature, ROUND(CAST(x[{SEQ_L}][2] AS DOUBLE), 6) AS last_dewpoint,
   y FROM s WHERE len(x) = {SEQ_L}""")
 def q_sequences_next(spark, d):
@@ -43,7 +43,7 @@ s AS (SELECT event_id, CASE WHEN temperature >= 33.0 THEN 1 WHEN temperature <=
   row_number() OVER ({SEQ_W}) AS rn, COUNT(*) OVER (PARTITION BY station_id) AS n,
   list([CAST(temperature AS FLOAT), CAST(dewpoint AS FLOAT)]) OVER ({SEQ_W}
        ROWS BETWEEN {SEQ_L - 1} PRECEDING AND CURRENT ROW) AS x FROM obs)
-SELECT event_id, len(x) AS seq_len, ROUND(CAST(x[1][1] AS DOUBLE), 6) AS first_temperature,
+SELECT event_id, CAST(len(x) AS INTEGER) AS seq_len, ROUND(CAST(x[1][1] AS DOUBLE), 6) AS first_temperature,
   ROUND(CAST(x[{SEQ_L}][1] AS DOUBLE), 6) AS last_temperature, y FROM s WHERE len(x) = {SEQ_L} AND rn < n""")
 def q_sequences_last(spark, d):
     """Label on the last element, final row of each station dropped (n − L rows)."""

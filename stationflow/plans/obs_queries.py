@@ -235,7 +235,8 @@ fl AS (SELECT station_id, list_filter([CASE WHEN hot_40_pct > 1.0 THEN 'Canicule
                                      CASE WHEN cold_minus10_pct > 5.0 THEN 'Froid sévère' END,
                                      CASE WHEN amplitude_max > 25.0 THEN 'Chocs thermiques' END],
                                     lambda x: x IS NOT NULL) AS flags FROM prof)
-SELECT station_id, array_to_string(flags, '|') AS flags, len(flags) AS n_flags FROM fl WHERE len(flags) > 0""")
+SELECT station_id, array_to_string(flags, '|') AS flags, CAST(len(flags) AS INTEGER) AS n_flags FROM fl
+WHERE len(flags) > 0""")
 def q_station_flags(spark, d):
     """A39."""
     f = TH.station_flags(TH.station_profile(observations(spark, d)))

@@ -154,7 +154,7 @@ def _recs_sql() -> str:
 
 @query("recommendations", TOP_SQL + f""",
 rc AS (SELECT event_id, event_inferred, severity_inferred, {_recs_sql()} AS recs FROM t)
-SELECT event_id, event_inferred, len(recs) AS n_recommendations, recs[1] AS first_recommendation,
+SELECT event_id, event_inferred, CAST(len(recs) AS INTEGER) AS n_recommendations, recs[1] AS first_recommendation,
   recs[len(recs)] AS last_recommendation FROM rc""")
 def q_recommendations(spark, d):
     """R11 + J04 on every inferred alert (NORMAL rows get the no-concept message)."""
