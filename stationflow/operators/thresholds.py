@@ -37,6 +37,33 @@ def thresholds(train: DataFrame, station: str = "station_id", value: str = "temp
     return train.groupBy(station).agg(*aggs)
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear interpolation at rank q·(n−1), NULLs skipped)
+    without a per-group value map: rows are counted per (group, value) with
+    map-side combine, cumulative counts come from the bucketed prefix sums of
+    ``operators.metrics.cumulative`` (no window spans a group), and each
+    quantile is a conditional ``min`` in one final aggregate. Memory per task
+    is bounded whatever the number of distinct values."""
+    from stationflow.operators.metrics import cumulative
+
+    counts = (df.where(F.col(value).isNotNull())
+              .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    c = cumulative(counts, by, "_v", ["_c"])
+    n = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    j = c.join(n, by)
+    aggs = []
+    for name, q in qs.items():
+        pos = F.lit(q) * (F.col("_n") - 1)
+        lo_r, hi_r = F.floor(pos), F.ceil(pos)
+        # value at 0-based rank r: the smallest value whose cumulative count exceeds r
+        aggs += [F.min(F.when(F.col("cum__c") > lo_r, F.col("_v"))).alias(f"_lo_{name}"),
+                 F.min(F.when(F.col("cum__c") > hi_r, F.col("_v"))).alias(f"_hi_{name}"),
+                 F.first(pos - lo_r).alias(f"_fr_{name}")]
+    g = j.groupBy(*by).agg(*aggs)
+    out = [F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * F.col(f"_fr_{k}") for k in qs]
+    return g.select(*by, *[e.alias(k) for e, k in zip(out, qs)])
+
+
 def with_thresholds(df: DataFrame, th: DataFrame, station: str = "station_id") -> DataFrame:
     """Left equi-join of rows to their station's thresholds.
 

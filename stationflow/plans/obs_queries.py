@@ -334,3 +334,14 @@ def q_label_names(spark, d):
     return lab.select("event_id", "extreme_event",
                       L.decode_label(F.col("extreme_event"), L.ADAPTIVE_CLASSES).alias("event_name"),
                       oh[1].alias("onehot_1"), oh[3].alias("onehot_3"))
+
+
+@query("station_quantiles_distributed", f"""WITH {OBS_SQL}
+SELECT station_id, ROUND(quantile_cont(temperature, 0.99), 6) AS temp_p99,
+  ROUND(quantile_cont(temperature, 0.5), 6) AS temp_p50, ROUND(quantile_cont(temperature, 0.01), 6) AS temp_p01
+FROM obs GROUP BY station_id""")
+def q_station_quantiles_distributed(spark, d):
+    """A11 quantiles by the distributed exact method (no per-group value map)."""
+    q = TH.exact_quantiles(observations(spark, d), ["station_id"], "temperature",
+                           {"temp_p99": 0.99, "temp_p50": 0.5, "temp_p01": 0.01})
+    return round_doubles(q)
