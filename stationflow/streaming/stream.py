@@ -130,9 +130,13 @@ def score_stream(stream: DataFrame, impute: dict[str, float], scale: dict[str, t
 def alert_stream(stream: DataFrame, thresholds: DataFrame, station: str = "station_id",
                  value: str = "temperature") -> DataFrame:
     """T-S7: stream–static join with the per-station thresholds, then R05
-    identification; append mode, stateless."""
+    identification; append mode, stateless. The static side of a
+    stream–static join is re-evaluated for every micro-batch, so the
+    threshold table (an aggregate over the whole training table) is
+    materialized once into the shared checkpoint folder first."""
     from stationflow.operators.rules import identify_event_columns
-    th = thresholds.select(station, "temp_p99", "temp_p95", "temp_p05", "temp_p01")
+    from stationflow.session import materialize
+    th = materialize(thresholds.select(station, "temp_p99", "temp_p95", "temp_p05", "temp_p01"))
     j = stream.join(th, station, "left")
     return j.select(*stream.columns, *identify_event_columns(F.col(value), F.col("temp_p99"), F.col("temp_p95"),
                                                              F.col("temp_p05"), F.col("temp_p01")))
