@@ -99,7 +99,12 @@ def importance(model, features: list[str], spark) -> DataFrame:
 
 def run_baselines(train: DataFrame, test: DataFrame, spec: SeriesSpec, y: str, features: list[str],
                   period: int = 365) -> DataFrame:
-    """Fit → predict test → metrics, one row per model (unionByName)."""
+    """Fit → predict test → metrics, one row per model (unionByName).
+    Train and test are read by every model, so both are materialized once
+    (reliable checkpoint in the shared folder) instead of being recomputed
+    from the sources per model."""
+    from stationflow.session import materialize
+    train, test = materialize(train), materialize(test)
     rows = []
     p = persistence(train, test, spec, y)
     rows.append(regression_metrics(p, y, "y_hat").select(F.lit("persistence").alias("model"), "*"))
