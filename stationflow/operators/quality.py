@@ -47,10 +47,13 @@ def summary(df: DataFrame, cols: list[str], by: list[str] | None = None) -> Data
     aggs = []
     for c in cols:
         aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
-                 F.median(c).alias(f"{c}__median"), F.stddev_samp(c).alias(f"{c}__std"),
+                 F.stddev_samp(c).alias(f"{c}__std"),
                  F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max"),
-                 F.percentile(c, 0.25).alias(f"{c}__p25"), F.percentile(c, 0.75).alias(f"{c}__p75")]
+                 # median, p25, p75 from one value→count map per column
+                 F.percentile(c, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias(f"{c}__q")]
     wide = df.groupBy(*by).agg(*aggs)
+    wide = wide.select("*", *[F.col(f"{c}__q")[i].alias(f"{c}__{k}") for c in cols
+                              for i, k in enumerate(["median", "p25", "p75"])])
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
                         F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__median").alias("median"),
                         F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"),

@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 THRESHOLD_QS = {"p99": 0.99, "p95": 0.95, "p90": 0.90, "p10": 0.10, "p05": 0.05, "p01": 0.01}
 
 
-def _pct(col: str, q: float, exact: bool) -> Column:
-    return F.percentile(col, q) if exact else F.percentile_approx(col, q, 10000)
+def _pcts(col: str, qs: list[float], exact: bool) -> Column:
+    """All quantiles of one column from a single aggregate: one value→count
+    map per group instead of one per quantile."""
+    arr = F.array(*[F.lit(float(q)) for q in qs])
+    return F.percentile(col, arr) if exact else F.percentile_approx(col, arr, 10000)
 
 
 def thresholds(train: DataFrame, station: str = "station_id", value: str = "temperature",
@@ -31,10 +34,12 @@ def thresholds(train: DataFrame, station: str = "station_id", value: str = "temp
     Fit on the training rows only (the caller passes the train split).
     """
     qs = qs or THRESHOLD_QS
-    aggs = [_pct(value, q, exact).alias(f"{prefix}_{name}") for name, q in qs.items()]
-    aggs += [F.avg(value).alias(f"{prefix}_mean"), F.stddev_samp(value).alias(f"{prefix}_std"),
-             F.min(value).alias(f"{prefix}_min"), F.max(value).alias(f"{prefix}_max")]
-    return train.groupBy(station).agg(*aggs)
+    g = train.groupBy(station).agg(
+        _pcts(value, list(qs.values()), exact).alias("_q"),
+        F.avg(value).alias(f"{prefix}_mean"), F.stddev_samp(value).alias(f"{prefix}_std"),
+        F.min(value).alias(f"{prefix}_min"), F.max(value).alias(f"{prefix}_max"))
+    return g.select(station, *[F.col("_q")[i].alias(f"{prefix}_{name}") for i, name in enumerate(qs)],
+                    f"{prefix}_mean", f"{prefix}_std", f"{prefix}_min", f"{prefix}_max")
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
@@ -128,9 +133,11 @@ def station_profile(df: DataFrame, station: str = "station_id", time: str = "dat
         n.alias("samples"),
         F.min(value).alias("temp_min"), F.max(value).alias("temp_max"),
         F.avg(value).alias("temp_mean"), F.stddev_samp(value).alias("temp_std"),
-        F.percentile(value, 0.01).alias("temp_p01"), F.percentile(value, 0.05).alias("temp_p05"),
-        F.percentile(value, 0.95).alias("temp_p95"), F.percentile(value, 0.99).alias("temp_p99"),
-        *shares)
+        _pcts(value, [0.01, 0.05, 0.95, 0.99], True).alias("_q"), *shares)
+    base = base.select(station, "samples", "temp_min", "temp_max", "temp_mean", "temp_std",
+                       *[F.col("_q")[i].alias(k) for i, k in enumerate(["temp_p01", "temp_p05", "temp_p95",
+                                                                        "temp_p99"])],
+                       *[f"{k}_pct" for k in PROFILE_SHARES])
     return base.join(daily_amplitude(df, station, time, value), station, "left")
 
 
