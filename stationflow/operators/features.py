@@ -206,6 +206,17 @@ def run_length(df: DataFrame, spec: SeriesSpec, predicate: Column, min_run: int,
     small per-chunk summary table.
     """
     chunk_rows = resolve_chunk_rows(df, spec, chunk_rows)
+    if chunk_rows is None:
+        # plain form: position, run starts and the running max of the last
+        # start all over one station window (one exchange, one sort)
+        w = spec.window()
+        p = F.coalesce(predicate, F.lit(False))
+        d = df.select("*", p.alias("_p"), F.row_number().over(w).alias("_rix"))
+        d = d.select("*", (F.col("_p") & ~F.coalesce(F.lag("_p").over(w), F.lit(False))).alias("_start"))
+        last = F.max(F.when(F.col("_start"), F.col("_rix"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        d = d.select("*", F.when(F.col("_p"), F.col("_rix") - last + 1).cast("long").alias(out))
+        return (d.select("*", F.coalesce(F.col(out) >= min_run, F.lit(False)).alias(f"{out}_flag"))
+                .drop("_p", "_start", "_rix"))
     d = indexed(df.withColumn("_p", F.coalesce(predicate, F.lit(False))), spec, chunk_rows)
     d = with_halo(d, 1, chunk_rows)
     w = chunk_window(spec)
