@@ -114,15 +114,26 @@ def cumulative(g: DataFrame, by: list[str], order: str, cols: list[str], descend
                buckets: int = SCORE_BUCKETS) -> DataFrame:
     """Adds ``cum_{c}`` = sum of ``c`` over rows with order value ≤ (or ≥ when
     descending) the row's, within ``by``; exact. ``g`` holds one row per
-    (by, order value). Buckets come from a fixed monotone map of the value
-    (``atan`` squeezes any double into a bounded range), so no range pass is
-    needed: only ordering matters for exactness, not equal bucket sizes."""
+    (by, order value). Buckets come from a monotone map of the value,
+    ``atan((v − mean) / std)`` with the mean and standard deviation of the
+    group's distinct values, so buckets spread over each group's own range
+    whatever its scale. Only the ordering matters for exactness; the map
+    only balances the bucket sizes."""
     o = F.col(order)
-    b = F.least(F.floor((F.atan(o) / F.lit(3.141592653589793) + F.lit(0.5)) * buckets),
+    if by:
+        st = g.groupBy(*by).agg(F.avg(order).alias("_mu"), F.stddev_pop(order).alias("_sd"))
+        g0, g = g, g.join(st, by, "left")
+        mu, sd = F.col("_mu"), F.col("_sd")
+    else:
+        r = g.agg(F.avg(order).alias("mu"), F.stddev_pop(order).alias("sd")).first()
+        g0, mu, sd = g, F.lit(r["mu"]), F.lit(r["sd"])
+    z = (o - mu) / F.when(sd > 0, sd).otherwise(F.lit(1.0))
+    b = F.least(F.floor((F.atan(z) / F.lit(3.141592653589793) + F.lit(0.5)) * buckets),
                 F.lit(buckets - 1)).cast("int")
     if descending:
         b = F.lit(buckets - 1) - b
-    gb = g.select(*g.columns, b.alias("_b"))
+    gb = g.select(*g0.columns, b.alias("_b"))
+    g = g0
     tot = gb.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     # prefix over bucket totals: at most `buckets` rows per group
     wb = Window.partitionBy(*by).orderBy("_b")
