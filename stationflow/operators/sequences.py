@@ -35,8 +35,9 @@ def sequences(df: DataFrame, spec: SeriesSpec, features: list[str], target: str,
     else:
         raise ValueError(label)
     d = df.withColumn("_vec", vec)
+    need_index = stride > 1 or drop_tail
     out = windowed(d, spec, lambda w: [F.collect_list("_vec").over(w.rowsBetween(lo, hi)).alias("x")],
-                   halo, chunk_rows, keep_index=True)
+                   halo, chunk_rows, keep_index=need_index)
     out = out.where(F.size("x") == length)
     if stride > 1:
         first = length if label == "next" else length - 1
