@@ -109,3 +109,27 @@ def fit_transform(df_split: DataFrame, cols: list[str], split: str = "split",
     imputed = apply_impute(df_split, med, cols)
     sc = fit_scale(imputed.where(F.col(split) == "train"), cols)
     return apply_scale(imputed, sc, cols)
+
+
+def select_features(df: DataFrame, scenario: str, target: str = "temperature", raw: list[str] | None = None,
+                    top: int = 30, exclude=CALENDAR_PARTS + ("station_id",)) -> list[str]:
+    """M03 feature scenarios: ``ALL`` numeric features, ``RAW`` the present
+    raw columns, ``RAW+LAG`` raw plus every lag column, ``TOP30`` the ``top``
+    features with the largest |correlation| with the target (one aggregate;
+    only the ranked feature names reach the driver)."""
+    allf = numeric_features(df, target, exclude)
+    raw = [c for c in (raw or []) if c in allf]
+    if scenario == "ALL":
+        return allf
+    if scenario == "RAW":
+        return raw
+    if scenario == "RAW+LAG":
+        return raw + [c for c in allf if re.search(r"_lag_\d+h$", c) and c not in raw]
+    if scenario.startswith("TOP"):
+        from stationflow.operators.quality import feature_corr
+        if scenario[3:].isdigit():
+            top = int(scenario[3:])
+        ranked = (feature_corr(df, allf, target).where(F.col("abs_r").isNotNull())
+                  .orderBy(F.col("abs_r").desc(), "feature").limit(top).collect())
+        return [r["feature"] for r in ranked]
+    raise ValueError(scenario)
