@@ -111,23 +111,24 @@ def _score_counts(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame
 
 
 def cumulative(g: DataFrame, by: list[str], order: str, cols: list[str], descending: bool = False,
-               buckets: int = SCORE_BUCKETS) -> DataFrame:
+               buckets: int = SCORE_BUCKETS, totals: bool = False) -> DataFrame:
     """Adds ``cum_{c}`` = sum of ``c`` over rows with order value ≤ (or ≥ when
     descending) the row's, within ``by``; exact. ``g`` holds one row per
-    (by, order value). Buckets come from a monotone map of the value,
-    ``atan((v − mean) / std)`` with the mean and standard deviation of the
-    group's distinct values, so buckets spread over each group's own range
-    whatever its scale. Only the ordering matters for exactness; the map
-    only balances the bucket sizes."""
+    (by, order value). Buckets come from a monotone map of the value: with
+    group keys, ``atan((v − mean) / std)`` over the group's distinct values
+    (a join inside the same plan), so buckets spread over each group's own
+    range; without keys, ``atan(v)`` (no extra pass over the input). Only the
+    ordering matters for exactness; the map only balances bucket sizes.
+    ``totals`` adds ``tot_{c}``, the group total, carried on the bucket table."""
     o = F.col(order)
+    g0 = g
     if by:
         st = g.groupBy(*by).agg(F.avg(order).alias("_mu"), F.stddev_pop(order).alias("_sd"))
-        g0, g = g, g.join(st, by, "left")
-        mu, sd = F.col("_mu"), F.col("_sd")
+        g = g.join(st, by, "left")
+        sd = F.col("_sd")
+        z = (o - F.col("_mu")) / F.when(sd > 0, sd).otherwise(F.lit(1.0))
     else:
-        r = g.agg(F.avg(order).alias("mu"), F.stddev_pop(order).alias("sd")).first()
-        g0, mu, sd = g, F.lit(r["mu"]), F.lit(r["sd"])
-    z = (o - mu) / F.when(sd > 0, sd).otherwise(F.lit(1.0))
+        z = o
     b = F.least(F.floor((F.atan(z) / F.lit(3.141592653589793) + F.lit(0.5)) * buckets),
                 F.lit(buckets - 1)).cast("int")
     if descending:
@@ -137,11 +138,14 @@ def cumulative(g: DataFrame, by: list[str], order: str, cols: list[str], descend
     tot = gb.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     # prefix over bucket totals: at most `buckets` rows per group
     wb = Window.partitionBy(*by).orderBy("_b")
-    offs = tot.select(*by, "_b", *[(F.sum(f"_t_{c}").over(wb) - F.col(f"_t_{c}")).alias(f"_o_{c}") for c in cols])
+    offs = tot.select(*by, "_b", *[(F.sum(f"_t_{c}").over(wb) - F.col(f"_t_{c}")).alias(f"_o_{c}") for c in cols],
+                      *([F.sum(f"_t_{c}").over(Window.partitionBy(*by)).alias(f"tot_{c}") for c in cols]
+                        if totals else []))
     j = gb.join(offs, [*by, "_b"], "left")
     wl = Window.partitionBy(*by, "_b").orderBy(o.desc() if descending else o.asc()).rowsBetween(
         Window.unboundedPreceding, 0)
-    return j.select(*g.columns, *[(F.col(f"_o_{c}") + F.sum(c).over(wl)).alias(f"cum_{c}") for c in cols])
+    return j.select(*g.columns, *[(F.col(f"_o_{c}") + F.sum(c).over(wl)).alias(f"cum_{c}") for c in cols],
+                    *([f"tot_{c}" for c in cols] if totals else []))
 
 
 def auc(df: DataFrame, y: str, score: str, by: list[str] | None = None, one_class: float | None = None) -> DataFrame:
@@ -171,21 +175,14 @@ def auc_ovr(df: DataFrame, y: str, prob_cols: dict[int, str]) -> DataFrame:
 
 def roc_points(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
     """One point per distinct score threshold (descending): fpr, tpr.
-    Class totals come from an aggregate joined by group (no window over all
-    distinct scores)."""
+    Class totals ride on the bucket-total table (at most 4096 rows per
+    group), so no extra pass and no window over all distinct scores."""
     by = by or []
     g = _score_counts(df, y, score, by)
-    c = cumulative(g, by, "s", ["pos", "neg"], descending=True)
-    if by:
-        tot = g.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-        j = c.join(tot, by, "left")
-        P, N = F.col("_P"), F.col("_N")
-    else:
-        t = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-        j, P, N = c, F.lit(t["P"]), F.lit(t["N"])
-    return j.select(*by, F.col("s").alias("threshold"),
-                    F.try_divide(F.col("cum_neg"), N).alias("fpr"),
-                    F.try_divide(F.col("cum_pos"), P).alias("tpr"))
+    c = cumulative(g, by, "s", ["pos", "neg"], descending=True, totals=True)
+    return c.select(*by, F.col("s").alias("threshold"),
+                    F.try_divide(F.col("cum_neg"), F.col("tot_neg")).alias("fpr"),
+                    F.try_divide(F.col("cum_pos"), F.col("tot_pos")).alias("tpr"))
 
 
 def binary_station_metrics(df: DataFrame, station: str, y: str, p: str, cut: float = 0.5,
