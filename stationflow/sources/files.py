@@ -100,9 +100,12 @@ def read_station_files(spark: SparkSession, root: str, stations: DataFrame, star
     missing = missing_grid(stations, start_year, end_year,
                            chosen.select(F.col("station").alias("station_code"), "year"))
     if not paths:
-        schema = decode_fixed_width(spark.createDataFrame([], "value string")).schema
-        return spark.createDataFrame([], schema), missing
-    obs = decode_fixed_width(read_fixed_width(spark, paths))
+        empty = spark.createDataFrame([], "value string").withColumn("report_id", F.xxhash64("value"))
+        schema = decode_fixed_width(empty, keep=("report_id",)).schema
+        return with_station_dim(spark.createDataFrame([], schema), stations), missing
+    lines = read_fixed_width(spark, paths)
+    lines = lines.withColumn("report_id", F.xxhash64("value", "source_path"))
+    obs = decode_fixed_width(lines, keep=("report_id",))
     return with_station_dim(obs, stations), missing
 
 
