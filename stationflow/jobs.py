@@ -105,3 +105,33 @@ def run_extremes(spark: SparkSession, features_path: str, out_root: str, train_e
                   paths["recommendations"])
     SK.write_json(R.rules_table(spark), paths["rules"])
     return paths
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``spark-submit stationflow/jobs.py etl RAW OUT`` or ``... extremes FEATURES OUT``.
+    On a cluster the submitter's configuration wins; unset scale settings
+    get the defaults of ``session.SCALE_CONF`` and ``spark.checkpoint.dir``
+    must name a shared folder."""
+    import argparse
+
+    from stationflow.session import apply_scale_conf
+
+    ap = argparse.ArgumentParser(prog="stationflow.jobs")
+    ap.add_argument("job", choices=["etl", "extremes"])
+    ap.add_argument("input")
+    ap.add_argument("output")
+    ap.add_argument("--train-end", default=S.TRAIN_END)
+    ap.add_argument("--val-end", default=S.VAL_END)
+    a = ap.parse_args(argv)
+    spark = SparkSession.builder.appName(f"stationflow-{a.job}").getOrCreate()
+    apply_scale_conf(spark)
+    if a.job == "etl":
+        out = run_etl(spark, a.input, a.output, a.train_end, a.val_end)
+    else:
+        out = run_extremes(spark, a.input, a.output, a.train_end, a.val_end)
+    for k, v in out.items():
+        print(f"{k}\t{v}")
+
+
+if __name__ == "__main__":
+    main()
