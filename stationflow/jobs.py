@@ -11,8 +11,9 @@ E2 ``run_extremes``: feature table → train thresholds → labels (5-class,
 binary, rolling) → class statistics and weights → rule alerts with
 recommendations → Parquet / JSON artefacts.
 
-E3 is ``streaming.stream`` (``read_stream`` → ``decode_messages`` →
-``score_stream`` / ``alert_stream`` → ``run_available``).
+E3 ``run_stream``: messages (files or Kafka) → decode with the fitted
+feature schema → impute, scale and score with the parameters and the linear
+model saved by ``run_etl`` → Parquet sink, ``availableNow``.
 """
 
 from __future__ import annotations
@@ -68,16 +69,48 @@ def run_etl(spark: SparkSession, raw_root: str, out_root: str, train_end: str =
     sc = P.fit_scale(imputed.where(S.split_predicate(SPEC.time, "train", train_end, val_end)), cols)
     scaled = P.apply_scale(imputed, sc, cols)
     paths = {k: os.path.join(out_root, k) for k in ("features", "splits", "impute_params", "scale_params",
-                                                   "split_summary", "missing")}
+                                                   "split_summary", "missing", "model")}
     SK.write_parquet(feats.drop("split"), paths["features"])
     SK.write_parquet(scaled, paths["splits"], ["split"])
     SK.save_params(med, paths["impute_params"])
     SK.save_params(sc, paths["scale_params"])
     SK.write_json(SK.split_summary(scaled, cols), paths["split_summary"])
     SK.write_csv(missing, paths["missing"])
+    model_train = spark.read.parquet(paths["splits"]).where(F.col("split") == "train")
+    from stationflow.operators.forecast import fit_linear
+    fit_linear(model_train, cols, "temperature", solver="auto").write().overwrite().save(paths["model"])
     return paths
 
 
+def run_stream(spark: SparkSession, source: str, etl_root: str, out: str, checkpoint: str,
+               fmt: str = "files", key: str = "report_id", **opts):
+    """Score a message stream with the artefacts of ``run_etl``. Returns
+    the finished streaming query (its progress carries the counters)."""
+    from pyspark.ml.regression import LinearRegressionModel
+    from pyspark.sql import types as T
+
+    from stationflow.streaming import stream as ST
+
+    summary = spark.read.json(os.path.join(etl_root, "split_summary")).first()
+    cols = summary["features"].split(",")
+    med = P.param_values(SK.load_params(spark, os.path.join(etl_root, "impute_params")))
+    sc = P.param_values(SK.load_params(spark, os.path.join(etl_root, "scale_params")))
+    model = LinearRegressionModel.load(os.path.join(etl_root, "model"))
+    fields = [T.StructField(c, T.DoubleType()) for c in cols]
+    schema = T.StructType([T.StructField(SPEC.station, T.StringType()), T.StructField(SPEC.time, T.TimestampNTZType()),
+                           T.StructField(key, T.LongType()), T.StructField("temperature", T.DoubleType()),
+                           *[f for f in fields if f.name != "temperature"],
+                           T.StructField("_timestamp", T.DoubleType()), T.StructField("_index", T.LongType())])
+    stream = ST.counters(ST.decode_messages(ST.read_stream(spark, source, fmt, **opts), schema))
+    scored = ST.score_stream(stream.where(~F.col("_poison")),
+                             {c: med[f"median_{c}"] for c in cols},
+                             {c: (sc[f"mean_{c}"], sc[f"std_{c}"]) for c in cols},
+                             dict(zip(cols, model.coefficients.toArray().tolist())), model.intercept,
+                             "temperature")
+    return ST.run_available(scored.select(SPEC.station, SPEC.time, key, "prediction", "abs_error", "has_actual"),
+                            out, checkpoint)
+
+
 def run_extremes(spark: SparkSession, features_path: str, out_root: str, train_end: str = S.TRAIN_END,
                  val_end: str = S.VAL_END, spec: SeriesSpec = SPEC) -> dict:
     """E2. Thresholds fitted on train; labels, class statistics and alerts for
@@ -108,7 +141,8 @@ def run_extremes(spark: SparkSession, features_path: str, out_root: str, train_e
 
 
 def main(argv: list[str] | None = None) -> None:
-    """``spark-submit stationflow/jobs.py etl RAW OUT`` or ``... extremes FEATURES OUT``.
+    """``spark-submit stationflow/jobs.py etl RAW OUT``, ``... extremes FEATURES OUT`` or
+    ``... stream MESSAGES OUT --etl ETL_OUT [--checkpoint DIR]``.
     On a cluster the submitter's configuration wins; unset scale settings
     get the defaults of ``session.SCALE_CONF`` and ``spark.checkpoint.dir``
     must name a shared folder."""
@@ -117,18 +151,25 @@ def main(argv: list[str] | None = None) -> None:
     from stationflow.session import apply_scale_conf
 
     ap = argparse.ArgumentParser(prog="stationflow.jobs")
-    ap.add_argument("job", choices=["etl", "extremes"])
+    ap.add_argument("job", choices=["etl", "extremes", "stream"])
     ap.add_argument("input")
     ap.add_argument("output")
     ap.add_argument("--train-end", default=S.TRAIN_END)
     ap.add_argument("--val-end", default=S.VAL_END)
+    ap.add_argument("--etl", help="output folder of the etl job (stream)")
+    ap.add_argument("--checkpoint", help="streaming checkpoint folder (default: under spark.checkpoint.dir)")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"stationflow-{a.job}").getOrCreate()
     apply_scale_conf(spark)
     if a.job == "etl":
         out = run_etl(spark, a.input, a.output, a.train_end, a.val_end)
-    else:
+    elif a.job == "extremes":
         out = run_extremes(spark, a.input, a.output, a.train_end, a.val_end)
+    else:
+        from stationflow.session import work_path
+        q = run_stream(spark, a.input, a.etl, a.output, a.checkpoint or work_path(spark, "stream-ckpt"))
+        from stationflow.streaming.stream import progress_counters
+        out = {"sink": a.output, **{k: str(v) for k, v in progress_counters(q).items()}}
     for k, v in out.items():
         print(f"{k}\t{v}")
 

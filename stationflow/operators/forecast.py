@@ -67,13 +67,14 @@ def fill_with_train_mean(train: DataFrame, df: DataFrame, features: list[str]) -
     return apply_impute(df, fit_impute(train, features, "mean"), features, "mean")
 
 
-def fit_linear(train: DataFrame, features: list[str], y: str):
+def fit_linear(train: DataFrame, features: list[str], y: str, solver: str = "normal"):
     """Ordinary least squares (normal equations, no regularisation) on
-    complete rows."""
+    complete rows. ``solver="auto"`` falls back to L-BFGS when the normal
+    matrix is singular (collinear engineered features)."""
     from pyspark.ml.regression import LinearRegression
     d = assemble(train.dropna(subset=[*features, y]), features)
     return LinearRegression(featuresCol="features", labelCol=y, regParam=0.0, elasticNetParam=0.0,
-                            solver="normal").fit(d)
+                            solver=solver).fit(d)
 
 
 def fit_gbt(train: DataFrame, features: list[str], y: str, max_iter: int = 20, max_depth: int = 5,

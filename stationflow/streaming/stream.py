@@ -96,9 +96,10 @@ def run_with_dead_letter(decoded: DataFrame, build, sink: str, dead_letter: str,
 def progress_counters(query) -> dict:
     """Rows and rates of the last micro-batch plus observed counters."""
     p = query.lastProgress or {}
+    c = (p.get("observedMetrics") or {}).get("counters") or {}
+    c = c.asDict() if hasattr(c, "asDict") else dict(c)
     return {"input_rows": p.get("numInputRows"), "input_rows_per_sec": p.get("inputRowsPerSecond"),
-            "processed_rows_per_sec": p.get("processedRowsPerSecond"),
-            **(p.get("observedMetrics") or {}).get("counters", {})}
+            "processed_rows_per_sec": p.get("processedRowsPerSecond"), **c}
 
 
 def linear_score(features: dict[str, float], intercept: float) -> Column:
