@@ -69,16 +69,22 @@ def run_etl(spark: SparkSession, raw_root: str, out_root: str, train_end: str =
     sc = P.fit_scale(imputed.where(S.split_predicate(SPEC.time, "train", train_end, val_end)), cols)
     scaled = P.apply_scale(imputed, sc, cols)
     paths = {k: os.path.join(out_root, k) for k in ("features", "splits", "impute_params", "scale_params",
-                                                   "split_summary", "missing", "model")}
+                                                   "split_summary", "missing", "model", "model_features")}
     SK.write_parquet(feats.drop("split"), paths["features"])
     SK.write_parquet(scaled, paths["splits"], ["split"])
     SK.save_params(med, paths["impute_params"])
     SK.save_params(sc, paths["scale_params"])
     SK.write_json(SK.split_summary(scaled, cols), paths["split_summary"])
     SK.write_csv(missing, paths["missing"])
+    # the model uses the features that have a train median (a lag longer than
+    # the train history is NULL everywhere and stays out)
+    medians = P.param_values(med)
+    usable = [c for c in cols if medians[f"median_{c}"] is not None]
     model_train = spark.read.parquet(paths["splits"]).where(F.col("split") == "train")
     from stationflow.operators.forecast import fit_linear
-    fit_linear(model_train, cols, "temperature", solver="auto").write().overwrite().save(paths["model"])
+    fit_linear(model_train, usable, "temperature", solver="auto").write().overwrite().save(paths["model"])
+    spark.createDataFrame([(",".join(usable),)], "features string").coalesce(1).write.mode("overwrite").json(
+        paths["model_features"])
     return paths
 
 
@@ -91,8 +97,7 @@ def run_stream(spark: SparkSession, source: str, etl_root: str, out: str, checkp
 
     from stationflow.streaming import stream as ST
 
-    summary = spark.read.json(os.path.join(etl_root, "split_summary")).first()
-    cols = summary["features"].split(",")
+    cols = spark.read.json(os.path.join(etl_root, "model_features")).first()["features"].split(",")
     med = P.param_values(SK.load_params(spark, os.path.join(etl_root, "impute_params")))
     sc = P.param_values(SK.load_params(spark, os.path.join(etl_root, "scale_params")))
     model = LinearRegressionModel.load(os.path.join(etl_root, "model"))
