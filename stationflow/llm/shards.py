@@ -78,28 +78,29 @@ class Shards:
         return self.texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(run, schema)
 
     def ask(self, told: DataFrame, fn, merge, kind: int) -> DataFrame:
-        """A round: ``fn(Shard)`` returns sorted uint64 keys and an array of values;
-        ``merge(keys, values, parts)`` returns an answer array for all keys."""
+        """A round: ``fn(Shard)`` returns sorted uint64 keys, arrays of values, and how
+        many leading bytes of the keys are sent; ``merge(keys, values, ...)`` gets
+        lists by shard and returns an answer array for each."""
         bits = self.bits
 
         def send(shard: Shard) -> pa.Table:
-            keys, vals, width = fn(shard)
+            keys, *vals, width = fn(shard)
             cut = cuts(keys, bits)
             some = np.flatnonzero(np.diff(cut))
             raw = keys.view(np.uint8).reshape(-1, 8)[:, 8 - width:]
             return pa.table({"bucket": pa.array(some, pa.int32()), "shard": pa.array(np.full(len(some), shard.number), pa.int32()),
                              "keys": pa.array([raw[cut[b]:cut[b + 1]].tobytes() for b in some], pa.binary()),
-                             "vals": pa.array([pack(vals[cut[b]:cut[b + 1]]) for b in some], pa.binary())})
+                             "vals": pa.array([packs(v[cut[b]:cut[b + 1]] for v in vals) for b in some], pa.binary())})
 
         def meet(rows: pa.Table) -> pa.Table:
             keys, vals = [], []
             for k, v in zip(rows["keys"].to_pylist(), rows["vals"].to_pylist()):
-                vals.append(unpack(v))
-                raw = np.zeros((len(vals[-1]), 8), np.uint8)
+                vals.append(unpacks(v))
+                raw = np.zeros((len(vals[-1][0]), 8), np.uint8)
                 width = len(k) // max(1, len(raw))
                 raw[:, 8 - width:] = np.frombuffer(k, np.uint8).reshape(len(raw), width)
                 keys.append(raw.reshape(-1).view(U64))
-            out = merge(keys, vals)
+            out = merge(keys, *zip(*vals))
             n = rows.num_rows
             return pa.table({"shard": rows["shard"], "kind": pa.array(np.full(n, kind), pa.int32()), "bucket": rows["bucket"],
                              "num": pa.nulls(n, pa.int64()), "blob": pa.array([pack(x) for x in out], pa.binary())})
@@ -136,6 +137,20 @@ def unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(b[1:], np.int32 if b[:1] == b"i" else np.int64).astype(np.int64)
 
 
+def packs(arrays) -> bytes:
+    out = [pack(x) for x in arrays]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in out)
+
+
+def unpacks(b: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(b):
+        n = int.from_bytes(b[at:at + 4], "little")
+        out.append(unpack(b[at + 4:at + 4 + n]))
+        at += 4 + n
+    return out
+
+
 def first_of(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal sorted keys begins."""
     if not len(sorted_keys):

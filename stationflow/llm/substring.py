@@ -63,7 +63,7 @@ def joined(data, start, end, first) -> tuple[np.ndarray, np.ndarray]:
 
 def _out(shard: Shard, w: W.Windows) -> pa.Table:
     s, e, _, offsets = words(shard.data, shard.offsets)
-    _, _, starts, own, source = W.repeats(shard, w)
+    _, starts, own, source = W.repeats(shard, w)
     n = np.diff(offsets)
     gone = covered(starts, w.size, len(s))
     for i in np.flatnonzero(shard.copy & (n >= w.size)):

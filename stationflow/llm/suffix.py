@@ -1,7 +1,8 @@
 """Exact substring deduplication with suffix arrays.
 
-Behind the sieve of :mod:`windows`, each shard sorts the suffixes of the text
-that may be repeated: Larsson-Sadakane refinement, where suffixes are first
+Behind the sieve of :mod:`windows`, stretches of text that an earlier document
+holds whole are settled by their hash. Where copies differ in part, each shard
+sorts the suffixes of the text that may be repeated: Larsson-Sadakane refinement, where suffixes are first
 sorted by a few symbols and then only the groups that are still tied are sorted
 again by the rank of the suffix that begins where the sorted prefix ends.
 Common prefixes of neighbours (Kasai's values, up to the window) cut the sorted
@@ -16,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stationflow.llm import windows as W
-from stationflow.llm.shards import SHARD_BYTES, Shard
+from stationflow.llm.shards import Shard
 from stationflow.llm.substring import strings
-from stationflow.llm.text import BYTE, U64, covered, grams, mix, spread
+from stationflow.llm.text import BYTE, U64, covered, grams, mix, spans_hash, spread
 
 WINDOW = 50
 PACKED = 7  # symbols of 9 bits in one uint64
@@ -126,7 +127,7 @@ def _groups(shard: Shard, sym: np.ndarray, starts: np.ndarray, size: int):
 
 
 def _out(shard: Shard, w: W.Windows) -> pa.Table:
-    _, offsets, starts, _, _ = W.repeats(shard, w)
+    offsets, starts, _, _ = W.repeats(shard, w)
     n = np.diff(offsets)
     gone = covered(starts, w.size, len(shard.data))
     for i in np.flatnonzero(shard.copy & (n >= w.size)):
@@ -151,7 +152,7 @@ def _out(shard: Shard, w: W.Windows) -> pa.Table:
                      "kept": strings(kept, offsets[1:] - before[offsets[1:]], pa.binary()), "spans": spans})
 
 
-def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 0, shard_bytes: int = 2 << 20) -> DataFrame:
     """Removes every byte under a ``window`` of bytes that also starts in a
     document with a smaller doc_id; overlaps count, matches never cross
     documents, windows are judged on the input.
@@ -164,5 +165,6 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = 0, shard_byte
     A text is held whole by one task, with about 40 times its size in arrays.
     """
     gram = gram or max(1, window * 12 // 25)
-    w = W.Windows(window, gram, _symbols, lambda sh, sym, st: _groups(sh, sym, st, window))
+    w = W.Windows(window, gram, _symbols, lambda sh, sym, st: _groups(sh, sym, st, window),
+                  stretches=lambda sh, start, end: spans_hash(sh.data, start, end))
     return W.run(docs, w, _out, SCHEMA, window, shard_bytes)
