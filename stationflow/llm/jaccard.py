@@ -10,12 +10,13 @@ with a Jaccard similarity of t or more miss at most (1 - t) of either's size.
 2. Leaders. Each remaining set is compared with the most typical set (that with
    the most widely held shingles) among those that share one of its smallest
    common shingles. That joins large groups of near copies in linear time.
-3. Token-group matrix. Sets are put into groups of a bounded size within one
-   component; a group stores the union of its members' sampled shingles. The
-   overlap of a set with a group is bounded by the number of its rarest
-   shingles in that union; only groups that may hold a partner are opened, and
-   only if the set isn't connected to them yet. Of two components the smaller
-   one asks. Within an opened group the comparison is exact.
+3. Token-group matrix. Similar sets (those that follow one leader, linked or
+   not) are put into groups of a bounded size; a group stores the union of its
+   members' sampled shingles. The overlap of a set with a group is bounded by the
+   number of its rarest shingles in that union; only groups that may hold a
+   partner are opened, and only if the set isn't connected to them yet. Of two
+   components the smaller one asks. Within an opened group the comparison is
+   exact.
 
 The links found connect the same components as all links would.
 """
@@ -38,7 +39,8 @@ SAMPLE = 0.4  # share of the shingles of larger sets that are exchanged
 SMALL = 80  # sets up to this size are judged by all their shingles
 KEYS = 8  # smallest common shingles that lead to leaders
 LEADERS = 2  # leaders that a set is compared with
-GROUP = 256  # sets in a group of the matrix
+GROUP = 512  # sets in a group of the matrix, on average at most
+JUMPS = 3  # from leader to leader
 QUERIES = 2000  # sets that ask one copy of a group
 
 FOLDED = BYTE[LOWER]
@@ -180,23 +182,35 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _leader_links(cand: DataFrame, percent: int) -> DataFrame:
+def _leaders(cand: DataFrame) -> DataFrame:
+    """(sid, leader, k): up to LEADERS leaders of each set, the best with k = 1."""
     key = _exploded(cand, "keys", ["sid", "score"], "key")
     best = key.groupBy("key").agg(F.max(F.struct("score", "sid"))["sid"].alias("leader"))
     votes = key.join(best, "key").where("sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("votes"))
     order = Window.partitionBy("sid").orderBy(F.desc("votes"), "leader")
-    pairs = votes.withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEADERS).select("sid", "leader")
+    return votes.withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEADERS).select("sid", "leader", "k")
+
+
+def _leader_links(cand: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
     size = cand.select("sid", "tokens")
-    left = pairs.join(size, "sid").select(F.col("sid").alias("a"), "leader", F.col("tokens").alias("x"))
-    lead = size.join(best.select(F.col("leader").alias("sid")).distinct(), "sid", "left_semi")
+    left = leaders.join(size, "sid").select(F.col("sid").alias("a"), "leader", F.col("tokens").alias("x"))
+    lead = size.join(leaders.select(F.col("leader").alias("sid")).distinct(), "sid", "left_semi")
     both = left.join(lead, left["leader"] == lead["sid"]).select("a", F.col("leader").alias("b"), "x", F.col("tokens").alias("y"))
     few = F.least(F.octet_length("x"), F.octet_length("y")) * 100 >= percent * F.greatest(F.octet_length("x"), F.octet_length("y"))
     return _pairs(both.where(few), percent)
 
 
 def _open(members: pa.Table, asking: pa.Table, percent: int) -> pa.Table:
-    """A link of each asking set to one member of the group, if there is one."""
-    out = []
+    """Links of the asking sets to members of the group, without those that the
+    links before connect already."""
+    out, up = [], {}
+
+    def root(i):
+        while up.setdefault(i, i) != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
     sets_ = _tokens(members["tokens"])
     if sets_ and asking.num_rows:
         every, own = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), [len(x) for x in sets_])
@@ -204,37 +218,61 @@ def _open(members: pa.Table, asking: pa.Table, percent: int) -> pa.Table:
         every, own = every[order], own[order]
         n = np.array([len(x) for x in sets_])
         ids = members["sid"].to_pylist()
+        known = [*zip(ids, members["root"].to_pylist()), *zip(asking["asker"].to_pylist(), asking["above"].to_pylist())]
+        for i, r in known:
+            up[root(i)] = root(r)
         for sid, x in zip(asking["asker"].to_pylist(), _tokens(asking["set"])):
             lo, hi = np.searchsorted(every, x), np.searchsorted(every, x, "right")
-            count, width = hi - lo, int((hi - lo).sum())
-            at = np.arange(width) + np.repeat(lo - (np.cumsum(count) - count), count)
+            count = hi - lo
+            at = np.arange(int(count.sum())) + np.repeat(lo - (np.cumsum(count) - count), count)
             both = np.bincount(own[at], minlength=len(n))
-            hit = np.flatnonzero(100 * both >= percent * (n + len(x) - both))
-            if len(hit):
-                out.append((sid, ids[hit[0]]))
+            for k in np.flatnonzero(100 * both >= percent * (n + len(x) - both)):
+                a, b = root(sid), root(ids[k])
+                if a != b:
+                    up[a] = b
+                    out.append((sid, ids[k]))
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def _matrix_links(cand: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links between different components, through the token-group matrix."""
+def _matrix_links(cand: DataFrame, leaders: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links between different components, through the token-group matrix.
+
+    A set's family is the top of the leaders above it. Components of more than
+    GROUP sets have groups of their own; all other sets of a family share its
+    groups. A set of a large component asks the groups of larger ones only; any
+    other set asks those of all large components, its own group, and the shared
+    groups with a greater number, so every pair of sets is met once.
+    """
     c = cand.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    follow = leaders.where("k = 1").select("sid", "leader")
+    top = follow.withColumnRenamed("leader", "family")
+    for _ in range(JUMPS):
+        up = follow.select(F.col("sid").alias("family"), F.col("leader").alias("above"))
+        top = top.join(up, "family", "left").select("sid", F.coalesce("above", "family").alias("family"))
+    c = c.join(top, "sid", "left")
     sizes = c.groupBy("root").agg(F.count("*").alias("size"))
-    c = c.join(sizes, "root")
-    blocks = F.ceil(F.col("size") / GROUP)
-    c = materialize(c.withColumn("group", F.xxhash64("root", F.pmod(F.xxhash64("sid", F.lit("block")), blocks)))
-                    .select("sid", "root", "size", "group", "need", "tokens", "sampled", "probes"))
-    matrix = _exploded(c, "sampled", ["group", "root", "size"], "token").groupBy("token", "group").agg(
-        F.first("root").alias("root2"), F.first("size").alias("size2"))
-    asks = _exploded(c, "probes", ["sid", "root", "size", "need"], "token")
-    larger = (F.col("size2") > F.col("size")) | ((F.col("size2") == F.col("size")) & (F.col("root2") > F.col("root")))
+    c = c.join(sizes, "root").withColumn("size", F.when(F.col("size") > GROUP, F.col("size")).otherwise(0))
+    c = c.withColumn("family", F.when(F.col("size") > 0, F.xxhash64("root", F.lit("large"))).otherwise(F.xxhash64(F.coalesce("family", "sid"))))
+    families = c.groupBy("family").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
+    c = c.join(families, "family").withColumn("group", F.xxhash64("family", F.pmod(F.xxhash64("sid", F.lit("block")), F.col("blocks"))))
+    c = materialize(c.withColumn("label", F.when(F.col("size") > 0, F.col("root")).otherwise(F.col("group")))
+                    .select("sid", "root", "size", "label", "group", "need", "tokens", "sampled", "probes"))
+    matrix = _exploded(c, "sampled", ["group", "label", "size"], "token").groupBy("token", "group").agg(
+        F.first("label").alias("label2"), F.first("size").alias("size2"))
+    asks = _exploded(c, "probes", ["sid", "label", "size", "need"], "token")
+    larger = (F.col("size2") > F.col("size")) | ((F.col("size2") == F.col("size")) & (
+        (F.col("label2") > F.col("label")) | ((F.col("size") == 0) & (F.col("label2") == F.col("label")))))
     hits = asks.join(matrix, "token").where(larger).groupBy("sid", "group").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    opened = materialize(hits.where("n >= need").select("sid", "group"))
+    alone = c.groupBy("group").agg(F.count("*").alias("members"), F.first("size").alias("s")).where("members = 1 and s = 0")
+    own = c.join(alone, "group").select("sid", "group")  # a group of one set has no other to ask
+    opened = materialize(hits.where("n >= need").select("sid", "group").join(own, ["sid", "group"], "left_anti"))
     copies = opened.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).alias("copies"))
     asking = (opened.join(copies, "group").withColumn("copy", F.pmod(F.xxhash64("sid"), F.col("copies")).cast("int"))
-              .join(c.select("sid", "tokens"), "sid")
-              .select(F.col("group").alias("asked"), F.col("copy").alias("part"), F.col("sid").alias("asker"), F.col("tokens").alias("set")))
-    members = (c.select("group", "sid", "tokens").join(copies, "group")
-               .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))).select("group", "copy", "sid", "tokens"))
+              .join(c.select("sid", "root", "tokens"), "sid")
+              .select(F.col("group").alias("asked"), F.col("copy").alias("part"), F.col("sid").alias("asker"),
+                      F.col("root").alias("above"), F.col("tokens").alias("set")))
+    members = (c.select("group", "sid", "root", "tokens").join(copies, "group")
+               .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))).select("group", "copy", "sid", "root", "tokens"))
     return members.groupBy("group", "copy").cogroup(asking.groupBy("asked", "part")).applyInArrow(
         lambda m, a: _open(m, a, percent), "a long, b long")
 
@@ -260,8 +298,9 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, shard_bytes: int = S.S
     first = with_set.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     cand = with_set.join(first, ["sid", "doc_id"], "left_semi").dropDuplicates(["sid"])
     cand = materialize(cand.select("sid", "score", "need", "tokens", "sampled", "probes", "keys"))
-    links = materialize(_leader_links(cand, percent))
-    more = materialize(_matrix_links(cand, components(links), percent))
+    leaders = materialize(_leaders(cand))
+    links = materialize(_leader_links(cand, leaders, percent))
+    more = materialize(_matrix_links(cand, leaders, components(links), percent))
     roots = components(links.union(more))
     rows = stage.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid"))
     rows = rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
