@@ -23,6 +23,7 @@ EMBED, FILTERS, HIDDEN = 8, 32, 16
 SAMPLE_ROWS = 2400  # labelled rows for fitting, half of each label where there are so many
 SAMPLE_BYTES = 8192  # only texts up to this size are fitted on
 EPOCHS, BATCH, RATE = 8, 32, 4e-3
+STEPS = 600  # mini-batches at least; small samples go round more often, 40 times at most
 THRESHOLD = 0.3
 PLACES = 1 + (CHUNK - WIDTH) // STRIDE
 
@@ -159,7 +160,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, mos
         return net
     data = np.frombuffer(b"".join(t for t, _ in got), np.uint8)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t, _ in got])))
-    return net.fit(data, offsets, y, prior=prior)
+    epochs = max(EPOCHS, min(40, -(-STEPS * BATCH // len(y))))
+    return net.fit(data, offsets, y, epochs=epochs, prior=prior)
 
 
 def score_quality(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
