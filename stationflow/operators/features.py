@@ -19,11 +19,11 @@ every ROWS-frame feature is evaluated over *chunks*:
    (``tests/test_features.py`` checks both forms), and no task sees more than
    ``chunk_rows + halo`` rows of one series.
 
-``chunk_rows=None`` selects the plain form (one window partition per station).
-``chunk_rows="auto"`` (the default) measures the largest series first (one
-map-side-combined count of the key column): when every series fits in
-``CHUNK_ROWS`` the plain form is already bounded and saves a full shuffle;
-otherwise the chunked form runs.
+``chunk_rows`` and ``bucket`` are plain parameters: they bound the work of one
+task and never change the result, and building a plan runs no job.
+``chunk_rows=None`` selects the plain form (one window partition per station)
+for series that are known to be short. Rows with a NULL station or time form
+series and buckets of their own and stay.
 """
 
 from __future__ import annotations
@@ -37,12 +37,9 @@ from stationflow.spec import SeriesSpec
 
 # Rows per window chunk; bounds the largest group any window task sees.
 CHUNK_ROWS = 1 << 20
-# Time bucket used to number rows without a whole-series window. "auto"
-# tries day, hour, minute and keeps the first unit whose largest
-# (station, bucket) group fits CHUNK_ROWS, so a station holding a third of
-# the data never puts a third of a day into one row-numbering task.
-INDEX_BUCKET = "auto"
-BUCKET_UNITS = ("day", "hour", "minute")
+# Time bucket used to number rows without a whole-series window ("day", "hour",
+# "minute"); one task numbers the rows of one station and bucket.
+INDEX_BUCKET = "hour"
 
 # Default lag and rolling parameters (rows).
 DEFAULT_LAGS = (1, 3, 6, 12, 24, 48, 168)
@@ -68,33 +65,14 @@ def _bucket_counts(df: DataFrame, spec: SeriesSpec, bucket: str):
 
 
 def row_index(df: DataFrame, spec: SeriesSpec, bucket: str = INDEX_BUCKET) -> DataFrame:
-    """Adds ``_rix``: 0-based position of the row in its series order."""
-    if bucket == "auto":
-        typ = dict(df.dtypes)[spec.time]
-        units = BUCKET_UNITS if (typ.startswith("timestamp") or typ == "date") else ("day",)
-        for unit in units:
-            d, counts = _bucket_counts(df, spec, unit)
-            largest = counts.agg(F.max("_cnt").alias("m")).first()["m"] or 0
-            if largest <= CHUNK_ROWS:
-                break
-    else:
-        d, counts = _bucket_counts(df, spec, bucket)
+    """Adds ``_rix``: 0-based position of the row in its series order. Offsets
+    join null-safe, so rows with a NULL station or time are numbered too."""
+    d, counts = _bucket_counts(df, spec, bucket)
     wb = Window.partitionBy(spec.station).orderBy("_bkt")
-    offs = counts.select(spec.station, "_bkt", (F.sum("_cnt").over(wb) - F.col("_cnt")).alias("_off"))
+    offs = counts.select(F.col(spec.station).alias("_s"), F.col("_bkt").alias("_b"), (F.sum("_cnt").over(wb) - F.col("_cnt")).alias("_off"))
     rn = F.row_number().over(Window.partitionBy(spec.station, "_bkt").orderBy(*spec.order_cols()))
-    return (d.join(offs, [spec.station, "_bkt"])
-            .withColumn("_rix", F.col("_off") + rn - 1)
-            .drop("_off", "_bkt"))
-
-
-def resolve_chunk_rows(df: DataFrame, spec: SeriesSpec, chunk_rows):
-    """``"auto"`` → None (plain) when the largest series has at most
-    ``CHUNK_ROWS`` rows, else ``CHUNK_ROWS``; other values pass through."""
-    if chunk_rows != "auto":
-        return chunk_rows
-    largest = (df.groupBy(spec.station).agg(F.count(F.lit(1)).alias("_n"))
-               .agg(F.max("_n").alias("m")).first()["m"])
-    return None if (largest or 0) <= CHUNK_ROWS else CHUNK_ROWS
+    same = F.col(spec.station).eqNullSafe(F.col("_s")) & F.col("_bkt").eqNullSafe(F.col("_b"))
+    return d.join(offs, same).withColumn("_rix", F.col("_off") + rn - 1).drop("_off", "_bkt", "_s", "_b")
 
 
 def indexed(df: DataFrame, spec: SeriesSpec, chunk_rows: int | None = CHUNK_ROWS,
@@ -126,11 +104,10 @@ def with_halo(d: DataFrame, halo: int, chunk_rows: int | None) -> DataFrame:
 
 
 def windowed(df: DataFrame, spec: SeriesSpec, build: Callable[[WindowSpec], list[Column]],
-             halo: int, chunk_rows="auto", keep_index: bool = False,
+             halo: int, chunk_rows: int | None = CHUNK_ROWS, keep_index: bool = False,
              bucket: str = INDEX_BUCKET) -> DataFrame:
     """Evaluates ``build(w)`` (window Columns whose ROWS frames reach at most
     ``halo`` rows back and none forward) per series, chunked."""
-    chunk_rows = resolve_chunk_rows(df, spec, chunk_rows)
     if chunk_rows is None and not keep_index:
         # plain form: one exchange, one sort, one Window node for all columns
         return df.select("*", *build(spec.window()))
@@ -145,7 +122,7 @@ def lag_columns(w: WindowSpec, cols, lags) -> list[Column]:
 
 
 def lags(df: DataFrame, spec: SeriesSpec, cols=DEFAULT_LAG_VARS, lags=DEFAULT_LAGS,
-         chunk_rows="auto") -> DataFrame:
+         chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """``{c}_lag_{k}h`` = value k rows earlier in the same station."""
     return windowed(df, spec, lambda w: lag_columns(w, cols, lags), max(lags), chunk_rows)
 
@@ -170,7 +147,7 @@ def rolling_columns(w: WindowSpec, cols, windows, stats=("ma", "std", "min", "ma
 
 def rolling(df: DataFrame, spec: SeriesSpec, cols=DEFAULT_ROLL_VARS, windows=DEFAULT_WINDOWS,
             stats=("ma", "std", "min", "max"), min_periods: int = 1, leak_free: bool = False,
-            chunk_rows="auto") -> DataFrame:
+            chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Rolling mean/sample std/min/max over the last k rows (incl. current
     unless ``leak_free``), NULLs ignored, ``min_periods`` non-NULL values required."""
     halo = max(windows) if leak_free else max(windows) - 1
@@ -189,7 +166,7 @@ def rolling_range(df: DataFrame, spec: SeriesSpec, cols, hours, stats=("ma",)) -
 
 
 def time_series_features(df: DataFrame, spec: SeriesSpec, lag_vars, lag_list, roll_vars, windows,
-                         chunk_rows="auto") -> DataFrame:
+                         chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """W01 + W02 in one select: one exchange and one sort feed every window column."""
     halo = max(max(lag_list), max(windows) - 1)
     return windowed(df, spec, lambda w: lag_columns(w, lag_vars, lag_list)
@@ -197,7 +174,7 @@ def time_series_features(df: DataFrame, spec: SeriesSpec, lag_vars, lag_list, ro
 
 
 def run_length(df: DataFrame, spec: SeriesSpec, predicate: Column, min_run: int,
-               chunk_rows="auto", out: str = "run_position") -> DataFrame:
+               chunk_rows: int | None = CHUNK_ROWS, out: str = "run_position") -> DataFrame:
     """Position of each row inside its run of consecutive rows meeting
     ``predicate`` (NULL outside runs) and ``{out}_flag`` = position ≥ ``min_run``.
 
@@ -205,7 +182,6 @@ def run_length(df: DataFrame, spec: SeriesSpec, predicate: Column, min_run: int,
     one-row halo; the last start before each chunk is a prefix max over the
     small per-chunk summary table.
     """
-    chunk_rows = resolve_chunk_rows(df, spec, chunk_rows)
     if chunk_rows is None:
         # plain form: position, run starts and the running max of the last
         # start all over one station window (one exchange, one sort)
@@ -225,8 +201,8 @@ def run_length(df: DataFrame, spec: SeriesSpec, predicate: Column, min_run: int,
     start_ix = F.when(F.col("_start"), F.col("_rix"))
     summary = d.groupBy(spec.station, "_chunk").agg(F.max(start_ix).alias("_cmax"))
     wc = Window.partitionBy(spec.station).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(spec.station, "_chunk", F.max("_cmax").over(wc).alias("_carry"))
-    d = d.join(carry, [spec.station, "_chunk"], "left")
+    carry = summary.select(F.col(spec.station).alias("_s"), F.col("_chunk").alias("_c"), F.max("_cmax").over(wc).alias("_carry"))
+    d = d.join(carry, F.col(spec.station).eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c")), "left").drop("_s", "_c")
     last = F.coalesce(F.max(start_ix).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carry"))
     pos = F.when(F.col("_p"), F.col("_rix") - last + 1).cast("long")
     res = d.select("*", pos.alias(out))

@@ -148,6 +148,32 @@ def q_lags(spark, d):
         "event_id", *[f"{c}_lag_{k}h" for c in Q_VARS for k in Q_LAGS]))
 
 
+# The same observations with rows of NULL station and NULL time, for the chunked
+# form with chunks much shorter than a series.
+HOLES_SQL = OBS_SQL + """,
+holes AS (SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN station_id END AS station_id,
+                            CASE WHEN event_id % 11 <> 0 THEN datetime END AS datetime) FROM obs)"""
+LAG_CHUNK, RUN_CHUNK = 32, 16
+
+
+def with_holes(o):
+    return (o.withColumn("station_id", F.when(F.col("event_id") % 7 != 0, F.col("station_id")))
+            .withColumn("datetime", F.when(F.col("event_id") % 11 != 0, F.col("datetime"))))
+
+
+def _nulls_first(sql: str) -> str:
+    return sql.replace("ORDER BY datetime", "ORDER BY datetime NULLS FIRST")
+
+
+@query("lags_chunked", _nulls_first(f"""WITH {HOLES_SQL}
+SELECT event_id, {", ".join(lag_sql(c, k) for c in Q_VARS for k in Q_LAGS)} FROM holes"""))
+def q_lags_chunked(spark, d):
+    """W01 in chunks of 32 rows, with NULL stations and times."""
+    o = with_holes(observations(spark, d))
+    return round_doubles(FE.lags(o, OBS_SPEC, Q_VARS, Q_LAGS, chunk_rows=LAG_CHUNK).select(
+        "event_id", *[f"{c}_lag_{k}h" for c in Q_VARS for k in Q_LAGS]))
+
+
 ROLL_NAMES = [f"{c}_{s}_{k}h" for c in Q_VARS for k in Q_WINDOWS for s in ("ma", "std", "min", "max")]
 
 
@@ -202,6 +228,20 @@ def q_run_length(spark, d):
     return r.select("event_id", "run_position", "run_position_flag")
 
 
+@query("run_length_chunked", _nulls_first(f"""WITH {HOLES_SQL},
+a AS (SELECT *, COALESCE(temperature >= {RUN_HOT}, false) AS p,
+        row_number() OVER ({W_SQL}) AS rn FROM holes),
+b AS (SELECT *, p AND NOT COALESCE(lag(p) OVER ({W_SQL}), false) AS st FROM a),
+c AS (SELECT *, max(CASE WHEN st THEN rn END) OVER ({W_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ls
+      FROM b)
+SELECT event_id, CASE WHEN p THEN rn - ls + 1 END AS run_position,
+  COALESCE(CASE WHEN p THEN rn - ls + 1 END >= {RUN_MIN}, false) AS run_position_flag FROM c"""))
+def q_run_length_chunked(spark, d):
+    """W09 in chunks of 16 rows, with NULL stations and times."""
+    r = FE.run_length(with_holes(observations(spark, d)), OBS_SPEC, F.col("temperature") >= RUN_HOT, RUN_MIN, chunk_rows=RUN_CHUNK)
+    return r.select("event_id", "run_position", "run_position_flag")
+
+
 @query("feature_catalog", f"""WITH {OBS_SQL},
 f AS (SELECT *, {", ".join(lag_sql(c, k) for c in Q_VARS for k in Q_LAGS)},
   {", ".join(roll_sql(c, k, s) for c in Q_VARS for k in Q_WINDOWS for s in ("ma", "std", "min", "max"))}

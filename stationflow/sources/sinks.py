@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
                   mode: str = "overwrite") -> None:
     """Snappy Parquet, optionally partitioned (e.g. split, station_id).
-    Rows are clustered by the partition columns first so each task writes few
-    files."""
+    Rows are clustered by the partition columns with a rebalance: AQE splits a
+    partition value that holds much of the data over many tasks of the advisory
+    size, so a coarse key never makes one writing task."""
     w = df
     if partition_by:
-        w = df.repartition(*partition_by)
+        w = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = w.write.mode(mode).option("compression", "snappy")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -171,24 +171,20 @@ ROLL_STATE = "values array<double>"
 
 
 def rolling_state_fn(window: int, min_periods: int, order: tuple[str, ...], value: str, out: str):
-    """Per-station ring buffer of the last ``window − 1`` values carried across
-    micro-batches; rows of a batch are processed in series order."""
+    """Per-station buffer of the last ``window − 1`` values carried across
+    micro-batches. A group larger than an Arrow batch comes in several chunks in
+    any order: all are gathered and sorted before the rolling mean runs over the
+    buffer and the batch."""
     import pandas as pd
 
     def fn(key, pdfs, state):
-        buf = list(state.get[0]) if state.exists else []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(list(order))
-            vals = pdf[value].tolist()
-            res = []
-            for v in vals:
-                frame = (buf + [v])[-window:]
-                nn = [x for x in frame if x is not None and x == x]
-                res.append(sum(nn) / len(nn) if len(nn) >= min_periods else None)
-                buf = frame[-(window - 1):] if window > 1 else []
-            pdf = pdf.assign(**{out: pd.Series(res, index=pdf.index, dtype="float64")})
-            state.update(([None if (x is None or x != x) else float(x) for x in buf],))
-            yield pdf
+        buf = [float("nan") if v is None else v for v in state.get[0]] if state.exists else []
+        pdf = pd.concat(list(pdfs)).sort_values(list(order), kind="stable")
+        vals = pd.concat([pd.Series(buf, dtype="float64"), pdf[value].astype("float64")], ignore_index=True)
+        means = vals.rolling(window, min_periods=max(1, min_periods)).mean().to_numpy()[len(buf):]
+        tail = vals.to_numpy()[-(window - 1):] if window > 1 else []
+        state.update(([None if v != v else float(v) for v in tail],))
+        yield pdf.assign(**{out: means})
     return fn
 
 
