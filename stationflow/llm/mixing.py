@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stationflow.session import materialize
 
-RANGE_ROWS = 20_000  # documents in one range, on average
+RANGE_ROWS = 2_000  # documents in one range, on average
 MOST = 3  # epochs at most
 SEED = "mix"
 
