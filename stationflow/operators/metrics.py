@@ -29,10 +29,14 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = Non
 
 def mape(df: DataFrame, y: str, p: str, zero: str = "skip") -> Column:
     """A22 aggregate: mean |(y−p)/y|·100. ``zero='skip'`` ignores y = 0,
-    ``'eps'`` adds 1e-10 to the denominator, ``'plain'`` gives NULL at y = 0."""
+    ``'eps'`` adds 1e-10 to the denominator, ``'plain'`` is infinite
+    if any y = 0 (NaN where the prediction is 0 too)."""
     yc, pc = F.col(y), F.col(p)
     if zero == "eps":
         r = F.abs((yc - pc) / (yc + F.lit(1e-10)))
+    elif zero == "plain":
+        at_zero = F.when(pc == 0, F.lit(float("nan"))).when(pc.isNotNull(), F.lit(float("inf")))
+        r = F.when(yc == 0, at_zero).otherwise(F.abs(F.try_divide(yc - pc, yc)))
     else:
         r = F.abs(F.try_divide(yc - pc, F.when(yc != 0, yc)))
     return F.avg(r) * 100.0

@@ -199,15 +199,17 @@ def infer_all(df: DataFrame, rules: list[dict] = CLIMATE_RULES) -> DataFrame:
 
 
 def infer_top(df: DataFrame, rules: list[dict] = CLIMATE_RULES) -> DataFrame:
-    """The most severe alert flattened into five columns, NORMAL defaults."""
-    top = F.get(alerts_column(df, rules), 0)
-    return df.select(
-        "*",
-        F.coalesce(top["event_type"], F.lit(NO_ALERT["event_inferred"])).alias("event_inferred"),
-        F.coalesce(top["severity"], F.lit(NO_ALERT["severity_inferred"])).alias("severity_inferred"),
-        F.coalesce(top["alert_level"], F.lit(NO_ALERT["alert_level_inferred"])).alias("alert_level_inferred"),
-        F.coalesce(top["confidence"], F.lit(NO_ALERT["confidence_inferred"])).alias("confidence_inferred"),
-        F.coalesce(top["rule_name"], F.lit(NO_ALERT["rule_triggered"])).alias("rule_triggered"))
+    """The most severe alert flattened into five columns, NORMAL defaults. One
+    conditional chain in order of severity picks it; no array, no lambda."""
+    conds = compile_rules(rules, df.columns)
+    order = sorted(range(len(rules)), key=lambda i: (-SEVERITY_ORDER.get(rules[i]["severity"], 0), i))
+    top = F.struct(*[F.lit(NO_ALERT[c]).alias(c) for c in NO_ALERT])
+    for i in reversed(order):
+        r = rules[i]
+        mine = {"event_inferred": r["event_type"], "severity_inferred": r["severity"], "alert_level_inferred": r["alert_level"],
+                "confidence_inferred": float(r["confidence"]), "rule_triggered": r["name"]}
+        top = F.when(conds[i], F.struct(*[F.lit(mine[c]).alias(c) for c in NO_ALERT])).otherwise(top)
+    return df.select("*", top.alias("_top")).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_top.{c}") for c in NO_ALERT])
 
 
 def explode_alerts(df: DataFrame, keys: list[str], rules: list[dict] = CLIMATE_RULES) -> DataFrame:
