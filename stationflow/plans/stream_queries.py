@@ -31,11 +31,8 @@ def replay(spark, d, folder: str):
     """T-S3: every observation as a message; rows matching the poison rule
     are replaced by a malformed value (T-S5)."""
     o = observations(spark, d)
-    msgs = ST.to_messages(o, "event_id")
-    bad = o.select("event_id", ((F.col("climate_zone") == "error") & (F.col("dewpoint") >= 98)).alias("_bad"))
-    msgs = msgs.join(bad.select(F.col("event_id").cast("string").alias("key"), "_bad"), "key")
-    msgs = msgs.select("key", F.when(F.col("_bad"), F.lit(POISON)).otherwise(F.col("value")).alias("value"))
-    ST.write_messages(msgs, folder)
+    bad = (F.col("climate_zone") == "error") & (F.col("dewpoint") >= 98)
+    ST.write_messages(ST.to_messages(o, "event_id", bad, POISON), folder)
 
 
 def consume(spark, d, name: str):

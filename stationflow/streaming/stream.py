@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def to_messages(df: DataFrame, key: str) -> DataFrame:
+def to_messages(df: DataFrame, key: str, poison: Column | None = None, malformed: str = "") -> DataFrame:
     """NaN → null, envelope ``_timestamp`` (epoch s) and ``_index``,
-    value = JSON with null fields kept, key = the row key as string."""
+    value = JSON with null fields kept, key = the row key as string. Rows where
+    ``poison`` is true carry ``malformed`` as their value (T-S5)."""
     cols = []
     for c, t in df.dtypes:
         if t in ("double", "float"):
@@ -28,8 +29,10 @@ def to_messages(df: DataFrame, key: str) -> DataFrame:
             cols.append(F.col(c))
     env = F.struct(*cols, (F.unix_micros(F.current_timestamp()) / 1e6).alias("_timestamp"),
                    F.col(key).alias("_index"))
-    return df.select(F.col(key).cast("string").alias("key"),
-                     F.to_json(env, {"ignoreNullFields": "false"}).alias("value"))
+    value = F.to_json(env, {"ignoreNullFields": "false"})
+    if poison is not None:
+        value = F.when(poison, F.lit(malformed)).otherwise(value)
+    return df.select(F.col(key).cast("string").alias("key"), value.alias("value"))
 
 
 def write_messages(messages: DataFrame, target: str, fmt: str = "files", **opts) -> None:
