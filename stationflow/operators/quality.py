@@ -101,8 +101,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: list[str] | None = No
     by = by or []
     b = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     lo, hi = b["lo"], b["hi"]
-    if lo is None:
-        return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).limit(0)
+    if lo is None:  # no value: no row, the same columns
+        lo = hi = 0.0
     width = (hi - lo) / bins if hi > lo else 1.0
     x = F.col(col)
     idx = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
