@@ -1,6 +1,7 @@
 """Shards of documents, and keys that meet across shards.
 
-A shard is a bounded group of whole documents, dealt by a hash of the id. A
+A shard is a bounded group of whole documents, dealt by a hash of the id (of the
+text, where the id is null). A
 round over all shards has two shuffles of packed arrays: every shard sends its
 distinct keys, sorted and cut by key range into buckets; a bucket merges the
 sorted lists by binary search and answers each shard in the order in which it
@@ -12,6 +13,7 @@ folder.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -35,31 +37,33 @@ class Shards:
     """``docs`` (doc_id, text; other columns are not read) dealt into shards.
 
     ``copies_from``: whole copies of at least so many bytes are found by digest
-    first; all but the one with the smallest id are told to their shards, as
-    rows of kind 0 with the id as num.
+    first; all but those with the smallest id are told to their shards, as rows
+    of kind 0 with the id as num and the digest as blob. Ids need not be unique:
+    a row is a copy only if id and digest are told together.
     """
 
     def __init__(self, docs: DataFrame, copies_from: int = 0, shard_bytes: int = SHARD_BYTES,
                  bucket_bytes: int = BUCKET_BYTES):
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        cols = [F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.octet_length("text").cast("long").alias("size")]
+        salt = F.coalesce(F.when(F.col("doc_id").isNull(), F.xxhash64("text")), F.xxhash64("doc_id"))
+        cols = [F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.octet_length("text").cast("long").alias("size"), salt.alias("salt")]
         if copies_from:
             cols.append(F.when(F.octet_length("text") >= copies_from, F.unhex(F.sha2("text", 256))).alias("digest"))
         self.facts = materialize(docs.select(*cols))
         total = self.facts.agg(F.sum("size")).first()[0] or 0
         self.n = max(1, math.ceil(total / shard_bytes))
         self.bits = max(0, math.ceil(math.log2(max(1, total / bucket_bytes))))
-        self.texts = docs.withColumn("shard", self._shard(F.coalesce("doc_id", F.lit(NO_ID)))).select("shard", "doc_id", "text")
+        self.texts = docs.withColumn("shard", self._shard(salt)).select("shard", "doc_id", "text")
         self.copies = None
         if copies_from:
             had = self.facts.where("digest is not null")
             first = had.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
             again = had.join(first, "digest").where("doc_id > first")
-            self.copies = again.select(self._shard(F.col("doc_id")).alias("shard"), F.lit(0).alias("kind"),
-                                       F.lit(0).alias("bucket"), F.col("doc_id").alias("num"), F.lit(None).cast("binary").alias("blob"))
+            self.copies = again.select(self._shard(F.col("salt")).alias("shard"), F.lit(0).alias("kind"),
+                                       F.lit(0).alias("bucket"), F.col("doc_id").alias("num"), F.col("digest").alias("blob")).distinct()
 
-    def _shard(self, c):
-        return F.pmod(F.xxhash64(c), F.lit(self.n)).cast("int")
+    def _shard(self, salt):
+        return F.pmod(salt, F.lit(self.n)).cast("int")
 
     def answers(self, *more: DataFrame) -> DataFrame:
         """What shards have been told so far."""
@@ -171,7 +175,15 @@ class Shard:
         self._told = {}
         for i in np.flatnonzero(kind > 0):
             self._told.setdefault(int(kind[i]), []).append((told["bucket"][int(i)].as_py(), told["blob"][int(i)].as_py()))
-        self.copy = np.isin(self.ids, told["num"].filter(pa.array(kind == 0)).to_numpy()) if len(kind) else np.zeros(len(ids), bool)
+        copies = told.filter(pa.array(kind == 0, pa.bool_()))
+        copied = set(zip(copies["num"].to_pylist(), copies["blob"].to_pylist()))
+        self.copy = np.zeros(len(ids), bool)
+        for i in np.flatnonzero(np.isin(self.ids, copies["num"].to_numpy())) if copied else ():
+            self.copy[i] = (int(self.ids[i]), self.digest(i)) in copied
+
+    def digest(self, i: int) -> bytes:
+        """SHA-256 of a document's text."""
+        return hashlib.sha256(self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()).digest()
 
     @property
     def doc_id(self) -> pa.Array:
