@@ -25,12 +25,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays;
-    of rows alike in id and text, one. Rows with a null id stay together: all, if
-    one of them is the first of its group."""
-    groups = jaccard.jaccard_join(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates the row with the smallest id stays, of rows
+    with one id or none that with the smallest digest of its text; of rows alike
+    in id and text, one."""
+    return jaccard.without_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ QUERIES = 2000  # sets that ask one copy of a group
 
 FOLDED = BYTE[LOWER]
 STAGE = ("doc_id long, n_shingles long, sig binary, tokens binary, score long, need int, "
-         "sampled binary, probes binary, keys binary")
+         "sampled binary, probes binary, keys binary, digest binary")
 
 
 def sets(shard: S.Shard, size: int = SHINGLE):
@@ -113,7 +113,7 @@ def _holders(keys, vals):
     return [total[np.searchsorted(uniq, x)] for x in keys]
 
 
-def _stage(shard, percent) -> pa.Table:
+def _stage(shard, percent, digests: bool) -> pa.Table:
     tok, own, offsets = sets(shard)
     n = np.diff(offsets)
     send, judge, few = _sampled(tok, own, offsets, percent)
@@ -145,7 +145,9 @@ def _stage(shard, percent) -> pa.Table:
     cols = list(zip(*rows)) if rows else [()] * 7
     kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     names = ["sig", "tokens", "score", "need", "sampled", "probes", "keys"]
-    return pa.table({"doc_id": shard.doc_id, "n_shingles": pa.array(n.astype(np.int64))} | {k: pa.array(c, t) for k, c, t in zip(names, cols, kinds)})
+    digest = pa.array([shard.digest(i) if digests and n[i] else None for i in range(len(n))], pa.binary())
+    return pa.table({"doc_id": shard.doc_id, "n_shingles": pa.array(n.astype(np.int64))} | {k: pa.array(c, t) for k, c, t in zip(names, cols, kinds)}
+                    | {"digest": digest})
 
 
 def _exploded(rows: DataFrame, blob: str, keep: list[str], name: str) -> DataFrame:
@@ -277,6 +279,26 @@ def _matrix_links(cand: DataFrame, leaders: DataFrame, roots: DataFrame, percent
         lambda m, a: _open(m, a, percent), "a long, b long")
 
 
+def _rooted(docs: DataFrame, percent: int, shard_bytes: int, digests: bool = False) -> DataFrame:
+    """doc_id, n_shingles, digest (of the text, if ``digests`` and there are
+    shingles) and root (null without shingles) for every row."""
+    sh = S.Shards(docs, 1, shard_bytes)
+    told = sh.answers()
+    held = sh.ask(told, lambda s: _sieve(s, percent), _holders, 1)
+    stage = sh.each(told.unionByName(held), lambda s: _stage(s, percent, digests), STAGE)
+    stage = materialize(stage.withColumn("sid", F.xxhash64("sig")))
+    # all columns but doc_id and digest depend on the set alone, so any row stands for it
+    cand = stage.where("tokens is not null").select("sid", "score", "need", "tokens", "sampled", "probes", "keys").dropDuplicates(["sid"])
+    cand = materialize(cand)
+    leaders = materialize(_leaders(cand))
+    links = materialize(_leader_links(cand, leaders, percent))
+    more = materialize(_matrix_links(cand, leaders, components(links), percent))
+    roots = components(links.union(more))
+    rows = stage.select("doc_id", "n_shingles", "digest", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid"))
+    rows = rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    return rows.select("doc_id", "n_shingles", "digest", F.coalesce("root", "sid").alias("root"))
+
+
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, shard_bytes: int = S.SHARD_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead
     to, itself included) for every row.
@@ -289,21 +311,21 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, shard_bytes: int = S.S
     of such rows only has a null id. An empty table gives an empty result. Sets
     are held to be equal by 128-bit sums of their hashes.
     """
-    sh = S.Shards(docs, 1, shard_bytes)
-    told = sh.answers()
-    held = sh.ask(told, lambda s: _sieve(s, percent), _holders, 1)
-    stage = sh.each(told.unionByName(held), lambda s: _stage(s, percent), STAGE)
-    stage = materialize(stage.withColumn("sid", F.xxhash64("sig")))
-    with_set = stage.where("tokens is not null")
-    first = with_set.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    cand = with_set.join(first, ["sid", "doc_id"], "left_semi").dropDuplicates(["sid"])
-    cand = materialize(cand.select("sid", "score", "need", "tokens", "sampled", "probes", "keys"))
-    leaders = materialize(_leaders(cand))
-    links = materialize(_leader_links(cand, leaders, percent))
-    more = materialize(_matrix_links(cand, leaders, components(links), percent))
-    roots = components(links.union(more))
-    rows = stage.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid"))
-    rows = rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rows = _rooted(docs, percent, shard_bytes)
     least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least.where("root is not null"), "root", "left").select(
         "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, percent: int = PERCENT, shard_bytes: int = S.SHARD_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but one row of each component
+    only: that with the smallest doc_id (null last) and then the smallest digest
+    of its text, whether ids are null, repeated or not. Of rows alike in id and
+    text one stays. Rows without shingles are components of their own."""
+    rows = _rooted(docs, percent, shard_bytes, True).where("root is not null")
+    rows = rows.select("root", F.struct(F.coalesce("doc_id", F.lit(S.NO_ID)).alias("no"), "digest").alias("row"))
+    first = rows.groupBy("root").agg(F.min("row").alias("first"))
+    gone = rows.join(first, "root").where("row <> first").select("row.*").distinct().withColumnRenamed("digest", "of")
+    no = F.coalesce(F.col("doc_id").cast("long"), F.lit(S.NO_ID))
+    same = (no == F.col("no")) & (F.unhex(F.sha2(F.col("text").cast("string"), 256)) == F.col("of"))
+    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"])
