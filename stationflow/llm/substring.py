@@ -1,13 +1,13 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by phrases, after relative Lempel-Ziv parsing.
 
 The reference of a document is every document with a smaller id. All reference
 blocks (shards) index the phrases of 50 words that they hold; a document's
-phrases are looked up against all of them, and the parse is greedy: a factor
-starts at the first phrase that a block holds and goes on, word by word, for as
-long as the next phrase is held by the same source document. At a factor's
-boundary the straddling phrases are looked up like any other, so that a passage
-that is cut between two sources is still found whole. Factors have 50 words at
-least; shorter ones are literals and stay.
+phrases are looked up against all of them, each by its hash. This replaces the
+greedy parse: the words that go are those under a repeated phrase, so that a
+passage that is cut between two sources is still found whole. Factors only
+report sources: a run of phrases whose holder with the least id is one document
+is a factor, also where an earlier factor's source would go on, and neighbouring
+factors may overlap by 49 words. They have 50 words at least.
 """
 
 from __future__ import annotations
