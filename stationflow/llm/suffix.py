@@ -5,9 +5,10 @@ holds whole are settled by their hash. Where copies differ in part, each shard
 sorts the suffixes of the text that may be repeated: Larsson-Sadakane refinement, where suffixes are first
 sorted by a few symbols and then only the groups that are still tied are sorted
 again by the rank of the suffix that begins where the sorted prefix ends.
-Common prefixes of neighbours (Kasai's values, up to the window) cut the sorted
-list into groups of equal windows. The groups of all shards meet by binary
-search in key order, and a group with a smaller id elsewhere is repeated.
+Common prefixes of neighbours, compared directly up to the window in place of
+Kasai's rule, cut the sorted list into groups of equal windows. Suffix arrays of
+different shards are not merged: the groups meet by 64-bit hash in key order,
+and a group with a smaller id elsewhere is repeated.
 """
 
 from __future__ import annotations
