@@ -1,8 +1,10 @@
 """Benchmark decontamination with a positional inverted index.
 
 The index is partitioned by document: :func:`postings` gives, for every
-document, the sorted positions of each test term in it, as packed columns that
-can be written and searched again. The terms of a test window are ordered by
+document, the sorted positions of each test term in it, as packed columns. They
+hold the terms of the current block of test windows only and go straight into
+the search; no index of all training tokens is stored. Near matches are
+returned as a count, not as spans. The terms of a test window are ordered by
 their count over all documents; a search starts from the list of the rarest
 term, shifts it by the term's offset in the window, and keeps the starts that
 the shifted lists of the next rarest terms hold as well, until all thirteen
