@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm import chat, decontaminate, jaccard, licenses, mixing, pii, quality, repetition, substring, suffix
+from stationflow.llm import (chat, codes, decontaminate, jaccard, licenses, mixing, packing, pii, quality, repetition, resample, substring,
+                             suffix)
 from stationflow.sources.tables import read_table
 
 
@@ -185,7 +186,57 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, book = codes.compress(read_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(book)).alias("codebooks_sha256"))
+
+
+def _codes_sql() -> str:
+    """Lloyd's rounds as SQL: ``a<k>`` assigns parts, ``b<k>`` are the codebooks."""
+    def nearest(k):
+        return f"""
+a{k} AS (
+  SELECT v, p, ARG_MIN(e, ROW(d, e)) AS e, MIN(d) AS d FROM (
+    SELECT x.v, x.p, b.e, list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM x JOIN b{k} b ON b.p = x.p) GROUP BY v, p)"""
+
+    def moved(k):
+        return f"""
+m{k} AS (
+  SELECT p, e, list(m ORDER BY j) AS c FROM (
+    SELECT a.p, a.e, j, FLOOR_DIV(SUM(x.c[j]), COUNT(*)) AS m FROM a{k - 1} a JOIN x ON x.v = a.v AND x.p = a.p, (SELECT UNNEST(generate_series(1, (SELECT MAX(w) FROM n))) AS j)
+    GROUP BY a.p, a.e, j) GROUP BY p, e),
+b{k} AS (SELECT b.p, b.e, COALESCE(m.c, b.c) AS c FROM b{k - 1} b LEFT JOIN m{k} m ON m.p = b.p AND m.e = b.e)"""
+
+    steps = [nearest(0)] + [s for k in range(1, codes.ROUNDS + 1) for s in (moved(k), nearest(k))]
+    sql = f"""
+WITH k AS (
+  SELECT ROW_NUMBER() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS v, vec_id, label,
+         list_transform(embedding, lambda y: FLOOR({codes.SCALE} * y::DOUBLE)::BIGINT) AS c
+  FROM embeddings WHERE embedding IS NOT NULL AND LEN(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+n AS (SELECT LEN(c) // {codes.PARTS} AS w FROM k WHERE v = 0),
+x AS (SELECT v, p, c[p * w + 1:(p + 1) * w] AS c FROM k, n, (SELECT UNNEST(generate_series(0, {codes.PARTS - 1})) AS p) WHERE LEN(c) = {codes.PARTS} * w),
+b0 AS (SELECT p, v AS e, c FROM x WHERE v < {codes.ENTRIES}),{",".join(steps)},
+r AS (SELECT v, string_agg(printf('%02x', e), '' ORDER BY p) AS code, SUM(d)::BIGINT AS error FROM a{codes.ROUNDS} GROUP BY v),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS s FROM b{codes.ROUNDS})
+SELECT k.vec_id, r.code, r.error, SUM(r.error) OVER (PARTITION BY k.label)::BIGINT AS label_error, h.s AS codebooks_sha256
+FROM k JOIN r USING (v), h
+"""
+    return sql.replace("FLOOR_DIV(SUM(x.c[j]), COUNT(*))", "(SUM(x.c[j]) - ((SUM(x.c[j]) % COUNT(*)) + COUNT(*)) % COUNT(*)) // COUNT(*)")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_substring_dedup, op4_quality_rules, op5_license_scan, op6_jaccard_join,
-                                   op7_quality_classifier, op8_chat_formatting, op9_personal_data, op10_suffix_dedup)}
+                                   op7_quality_classifier, op8_chat_formatting, op9_personal_data, op10_suffix_dedup, op11_best_fit_packing,
+                                   op12_vector_codes, op13_importance_resampling)}
 ORACLE = {"op1_decontamination": _folded(OP1_SQL), "op2_mixing": mixing.MIX_SQL.format(docs="documents"), "op3_substring_dedup": OP3_SQL,
-          "op4_quality_rules": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op8_chat_formatting": OP8_SQL}
+          "op4_quality_rules": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op8_chat_formatting": OP8_SQL, "op12_vector_codes": _codes_sql()}
