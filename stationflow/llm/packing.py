@@ -37,6 +37,8 @@ END = 1  # id after each document
 ROUNDS = 100  # rounds of prices
 SLACK = 1e-3  # how far below the best configuration of a round others may be worth
 RATE = 1.0  # how much a length that lags by all of its pieces gains in price
+WORDS = 10_000  # words encoded at once
+STOPS = ".,;:!?"
 BLOCK = 16 << 20  # bytes of text tokenised at once, or one text
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -62,14 +64,35 @@ class WordIds:
         split = pc.ascii_split_whitespace(texts)
         at = split.offsets.to_numpy().astype(np.int64)
         words = split.flatten().dictionary_encode()
-        got = self.tok.encode_batch_fast(words.dictionary.to_pylist(), add_special_tokens=False)
-        got = [g.ids for g in got]
+        got = self._each(words.dictionary.to_pylist())
         n = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(n.sum()))
         code = words.indices.to_numpy()
         ends = np.concatenate(([0], np.cumsum(n[code])))
         return ids[spread((np.cumsum(n) - n)[code], n[code])], ends[at - at[0]]
 
+    def _each(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word. ASCII letters are one unit to the tokenizer and stops
+        behind them another, so these go to its model directly."""
+        out: list = [None] * len(words)
+        other, model, tails = [], self.tok.model.tokenize, {}
+        for i, w in enumerate(words):
+            v = w.rstrip(STOPS)
+            if v.isascii() and v.isalpha():
+                out[i] = [t.id for t in model(v.lower())]
+                if len(v) < len(w):
+                    tail = w[len(v):]
+                    if tail not in tails:
+                        tails[tail] = self.tok.encode(tail, add_special_tokens=False).ids
+                    out[i] += tails[tail]
+            else:
+                other.append(i)
+        for at in range(0, len(other), WORDS):
+            some = other[at:at + WORDS]
+            for i, g in zip(some, self.tok.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
+                out[i] = g.ids
+        return out
+
 
 def _blocks(texts: pa.Array):
     """Slices of a column of texts of about BLOCK bytes, at least one text each."""
