@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.llm.shards import first_of
-from stationflow.llm.text import BYTE, LOWER, U64, covered, flat, owner, spread, words
+from stationflow.llm.text import LOWER, U64, covered, flat, owner, spread, words
 from stationflow.session import materialize
 
 WINDOW = 13
@@ -39,14 +39,13 @@ GAP[ord("0"):ord("9") + 1] = False
 GAP[ord("a"):ord("z") + 1] = False
 GAP[ord("A"):ord("Z") + 1] = False
 GAP[0x80:] = False
-FOLDED = BYTE[LOWER]  # the symbol of each byte, A-Z as a-z
 
 MARKS = "hits array<int>, items array<string>, near long"
 
 
 def _tokens(col):
     data, offsets = flat(col)
-    _, _, h, first = words(data, offsets, GAP, FOLDED)
+    _, _, h, first = words(data, offsets, GAP, LOWER)
     return h, first
 
 

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from stationflow.llm import shards as S
 from stationflow.llm.components import components
-from stationflow.llm.text import BYTE, LOWER, U64, flat, grams, mix, words
-from stationflow.session import materialize
+from stationflow.llm.text import LOWER, U64, flat, grams, mix, words
+from stationflow.session import materialize, work_path
 
 SHINGLE = 5
 PERCENT = 80
@@ -43,14 +43,13 @@ GROUP = 512  # sets in a group of the matrix, on average at most
 JUMPS = 3  # from leader to leader
 QUERIES = 2000  # sets that ask one copy of a group
 
-FOLDED = BYTE[LOWER]
 STAGE = ("doc_id long, n_shingles long, sig binary, tokens binary, score long, need int, "
          "sampled binary, probes binary, keys binary, digest binary")
 
 
 def sets(shard: S.Shard, size: int = SHINGLE):
     """(tokens, owner, offsets): sorted distinct shingles of each document."""
-    _, _, h, first = words(shard.data, shard.offsets, table=FOLDED)
+    _, _, h, first = words(shard.data, shard.offsets, fold=LOWER)
     n = np.diff(first)
     own, tok = [], []
     all_grams = mix(grams(h, size))
@@ -245,7 +244,7 @@ def _matrix_links(cand: DataFrame, leaders: DataFrame, roots: DataFrame, percent
     other set asks those of all large components, its own group, and the shared
     groups with a greater number, so every pair of sets is met once.
     """
-    c = cand.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    c = cand.select("sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     follow = leaders.where("k = 1").select("sid", "leader")
     top = follow.withColumnRenamed("leader", "family")
     for _ in range(JUMPS):
@@ -257,28 +256,38 @@ def _matrix_links(cand: DataFrame, leaders: DataFrame, roots: DataFrame, percent
     c = c.withColumn("family", F.when(F.col("size") > 0, F.xxhash64("root", F.lit("large"))).otherwise(F.xxhash64(F.coalesce("family", "sid"))))
     families = c.groupBy("family").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
     c = c.join(families, "family").withColumn("group", F.xxhash64("family", F.pmod(F.xxhash64("sid", F.lit("block")), F.col("blocks"))))
-    c = materialize(c.withColumn("label", F.when(F.col("size") > 0, F.col("root")).otherwise(F.col("group")))
-                    .select("sid", "root", "size", "label", "group", "need", "tokens", "sampled", "probes"))
-    matrix = _exploded(c, "sampled", ["group", "label", "size"], "token").groupBy("token", "group").agg(
+    # numbers only; packed sets join them by column where they are needed
+    c = stored(c.withColumn("label", F.when(F.col("size") > 0, F.col("root")).otherwise(F.col("group")))
+               .select("sid", "root", "size", "label", "group"), "groups")
+    tokens = cand.select("sid", "tokens")
+    matrix = _exploded(cand.select("sid", "sampled").join(c, "sid"), "sampled", ["group", "label", "size"], "token").groupBy("token", "group").agg(
         F.first("label").alias("label2"), F.first("size").alias("size2"))
-    asks = _exploded(c, "probes", ["sid", "label", "size", "need"], "token")
+    asks = _exploded(cand.select("sid", "need", "probes").join(c, "sid"), "probes", ["sid", "label", "size", "need"], "token")
     larger = (F.col("size2") > F.col("size")) | ((F.col("size2") == F.col("size")) & (
         (F.col("label2") > F.col("label")) | ((F.col("size") == 0) & (F.col("label2") == F.col("label")))))
     hits = asks.join(matrix, "token").where(larger).groupBy("sid", "group").agg(F.count("*").alias("n"), F.first("need").alias("need"))
     alone = c.groupBy("group").agg(F.count("*").alias("members"), F.first("size").alias("s")).where("members = 1 and s = 0")
     own = c.join(alone, "group").select("sid", "group")  # a group of one set has no other to ask
-    opened = materialize(hits.where("n >= need").select("sid", "group").join(own, ["sid", "group"], "left_anti"))
+    opened = stored(hits.where("n >= need").select("sid", "group").join(own, ["sid", "group"], "left_anti"), "opened")
     copies = opened.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).alias("copies"))
     asking = (opened.join(copies, "group").withColumn("copy", F.pmod(F.xxhash64("sid"), F.col("copies")).cast("int"))
-              .join(c.select("sid", "root", "tokens"), "sid")
+              .join(c.select("sid", "root"), "sid").join(tokens, "sid")
               .select(F.col("group").alias("asked"), F.col("copy").alias("part"), F.col("sid").alias("asker"),
                       F.col("root").alias("above"), F.col("tokens").alias("set")))
-    members = (c.select("group", "sid", "root", "tokens").join(copies, "group")
+    members = (c.select("group", "sid", "root").join(copies, "group").join(tokens, "sid")
                .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))).select("group", "copy", "sid", "root", "tokens"))
     return members.groupBy("group", "copy").cogroup(asking.groupBy("asked", "part")).applyInArrow(
         lambda m, a: _open(m, a, percent), "a long, b long")
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read again: later plans read only the
+    columns they need and know the size of the table."""
+    path = work_path(rows.sparkSession, f"jaccard-{name}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _rooted(docs: DataFrame, percent: int, shard_bytes: int, digests: bool = False) -> DataFrame:
     """doc_id, n_shingles, digest (of the text, if ``digests`` and there are
     shingles) and root (null without shingles) for every row."""
@@ -286,10 +295,12 @@ def _rooted(docs: DataFrame, percent: int, shard_bytes: int, digests: bool = Fal
     told = sh.answers()
     held = sh.ask(told, lambda s: _sieve(s, percent), _holders, 1)
     stage = sh.each(told.unionByName(held), lambda s: _stage(s, percent, digests), STAGE)
-    stage = materialize(stage.withColumn("sid", F.xxhash64("sig")))
+    stage = stored(stage.select("*", F.xxhash64("sig").alias("sid"), F.monotonically_increasing_id().alias("row")).drop("sig"), "sets")
     # all columns but doc_id and digest depend on the set alone, so any row stands for it
-    cand = stage.where("tokens is not null").select("sid", "score", "need", "tokens", "sampled", "probes", "keys").dropDuplicates(["sid"])
-    cand = materialize(cand)
+    have = stage.where("tokens is not null")
+    first = have.groupBy("sid").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    same = stored(have.select("sid", "row").join(first, "sid").where("row <> first").select("row"), "same")
+    cand = have.join(same, "row", "left_anti").select("sid", "score", "need", "tokens", "sampled", "probes", "keys")
     leaders = materialize(_leaders(cand))
     links = materialize(_leader_links(cand, leaders, percent))
     more = materialize(_matrix_links(cand, leaders, components(links), percent))
@@ -323,9 +334,17 @@ def without_near_copies(docs: DataFrame, percent: int = PERCENT, shard_bytes: in
     of its text, whether ids are null, repeated or not. Of rows alike in id and
     text one stays. Rows without shingles are components of their own."""
     rows = _rooted(docs, percent, shard_bytes, True).where("root is not null")
-    rows = rows.select("root", F.struct(F.coalesce("doc_id", F.lit(S.NO_ID)).alias("no"), "digest").alias("row"))
+    rows = rows.select("root", F.struct(F.coalesce("doc_id", F.lit(S.NO_ID)).alias("no"), F.col("digest").alias("of")).alias("row"))
     first = rows.groupBy("root").agg(F.min("row").alias("first"))
-    gone = rows.join(first, "root").where("row <> first").select("row.*").distinct().withColumnRenamed("digest", "of")
-    no = F.coalesce(F.col("doc_id").cast("long"), F.lit(S.NO_ID))
-    same = (no == F.col("no")) & (F.unhex(F.sha2(F.col("text").cast("string"), 256)) == F.col("of"))
-    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = rows.join(first, "root").where("row <> first").select("row.*").distinct()
+    no = F.coalesce(F.col("doc_id").cast("long"), F.lit(S.NO_ID)).alias("no")
+    of = F.unhex(F.sha2(F.col("text").cast("string").cast("binary"), 256)).alias("of")
+    twins = docs.select(no, of).groupBy("no", "of").agg(F.count("*").alias("n")).where("n > 1")
+    # narrow verdicts on ids and digests; only twins' texts meet to leave one of them
+    told = gone.select("no", "of", F.lit(True).alias("out")).unionByName(twins.select("no", "of", F.lit(False).alias("out")))
+    told = stored(told.groupBy("no", "of").agg(F.max("out").alias("out")), "verdicts")
+    names = [f"`{c}`" for c in docs.columns]
+    marked = docs.select(F.struct(*names).alias("doc"), no, of)
+    marked = marked.join(told.select(F.col("no").alias("no2"), F.col("of").alias("of2"), "out"), (F.col("no") == F.col("no2")) & F.col("of").eqNullSafe(F.col("of2")), "left")
+    return marked.where("out is null").select("doc.*").unionByName(
+        marked.where("not out").select("doc.*").dropDuplicates(["doc_id", "text"]))

@@ -100,7 +100,7 @@ a AS (
   FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r5 USING (doc_id) LEFT JOIN r10 USING (doc_id) LEFT JOIN r101 USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n10 <= 0.3::DOUBLE * n_words AND n101 = 0 AS kept
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n10 <= 0.15::DOUBLE * n_words AND n101 = 0 AS kept
 FROM a
 """
 

@@ -28,7 +28,7 @@ BASE_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 # Limits of the method.
 MIN_REPEAT = 10
-MAX_FRACTION = 0.3
+MAX_FRACTION = 0.15
 MAX_REPEAT = 100
 PART = 1 << 20  # bytes of text that are sorted at once
 

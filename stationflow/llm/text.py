@@ -1,12 +1,15 @@
 """Array helpers for texts inside Arrow tasks: flat UTF-8 bytes, words, hashes.
 
-All hashes are polynomial over 64-bit symbols, modulo 2**64 with an odd base,
-and end in a bit mix. They depend on content alone, so that tasks on different
-executors agree.
+Spans of bytes are hashed by mixing in eight bytes at a time, very long ones by
+BLAKE2b; short windows of symbols (up to some dozens) by a polynomial modulo
+2**64 that ends in a bit mix. Hashes depend on content alone, so that tasks on
+different executors agree.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -68,24 +71,33 @@ def _inverse_powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-    """Hash of each byte span [start, end); work is in blocks of 1 MB so that
-    powers and prefix sums stay small."""
-    out = np.zeros(len(start), U64)
-    step, inv = 1 << 20, None
-    at = 0
-    while at < len(start):
-        lo = int(start[at])
-        to = max(at + 1, int(np.searchsorted(start, lo + step)))
-        hi = int(end[at:to].max())
-        pw = _powers(hi - lo)
-        acc = np.zeros(hi - lo + 1, U64)
-        np.cumsum(table[data[lo:hi]] * pw[:hi - lo], out=acc[1:])
-        inv = _inverse_powers(hi - lo + 1) if inv is None or len(inv) < hi - lo + 1 else inv
-        s, e = start[at:to] - lo, end[at:to] - lo
-        out[at:to] = (acc[e] - acc[s]) * inv[s]
-        at = to
-    return mix(out + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+LONG_SPAN = 1 << 12  # bytes from which a span is hashed on its own
+
+
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each byte span [start, end), of bytes as ``fold`` maps them. Every
+    eight bytes are mixed into the hash of those before, so that no arrangement
+    of the same bytes cancels out as it can in a polynomial."""
+    if fold is not None:
+        data = fold[data]
+    size = end - start
+    long = np.flatnonzero(size >= LONG_SPAN)
+    every = np.flatnonzero(size < LONG_SPAN)
+    out = mix(size.astype(U64) * U64(BASE) + U64(0xD6E8FEB86659FD93))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
+    every = every[np.argsort(-size[every], kind="stable")]
+    rank = -size[every]
+    for k in range(0, int(-rank[0]) if len(rank) else 0, 8):
+        at = every[:np.searchsorted(rank, -k, "left")]  # spans of more than k bytes
+        rest = size[at] - k
+        x = eight[start[at] + k]
+        short = rest < 8
+        x[short] &= (U64(1) << (rest[short].astype(U64) * U64(8))) - U64(1)
+        out[at] = mix((out[at] ^ mix(x + U64(BASE))) * U64(0xC2B2AE3D27D4EB4F) + U64(k + 1))
+    for i in long:
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
@@ -107,15 +119,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def words(data, offsets, gap=SPACE, table=BYTE):
+def words(data, offsets, gap=SPACE, fold=None):
     """Words of all texts: start, end, hash and the offsets of each text's words."""
     s, e = word_spans(data, offsets, gap)
-    return s, e, spans_hash(data, s, e, table), np.searchsorted(s, offsets)
+    return s, e, spans_hash(data, s, e, fold), np.searchsorted(s, offsets)
 
 
 def grams(sym: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k symbols from each position (length n - k + 1), unmixed;
-    by doubling, so that no power grows with the position."""
+    by doubling, so that no power grows with the position. For windows of some
+    dozens of symbols: sequences that cancel out in such a polynomial have
+    hundreds."""
     if len(sym) < k:
         return np.zeros(0, U64)
     power, size, acc, done = sym, 1, None, 0
