@@ -72,31 +72,41 @@ def _inverse_powers(n: int) -> np.ndarray:
 
 
 LONG_SPAN = 1 << 12  # bytes from which a span is hashed on its own
+SPANS = 1 << 16  # spans hashed at once
 
 
 def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
     """Hash of each byte span [start, end), of bytes as ``fold`` maps them. Every
     eight bytes are mixed into the hash of those before, so that no arrangement
-    of the same bytes cancels out as it can in a polynomial."""
-    if fold is not None:
-        data = fold[data]
+    of the same bytes cancels out as it can in a polynomial. Work is in blocks of
+    spans, so that what it holds besides the result stays small."""
+    out = np.empty(len(start), U64)
+    for at in range(0, len(start), SPANS):
+        out[at:at + SPANS] = _hash_block(data, start[at:at + SPANS], end[at:at + SPANS], fold)
+    return out
+
+
+def _hash_block(data, start, end, fold):
     size = end - start
-    long = np.flatnonzero(size >= LONG_SPAN)
-    every = np.flatnonzero(size < LONG_SPAN)
     out = mix(size.astype(U64) * U64(BASE) + U64(0xD6E8FEB86659FD93))
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
-    every = every[np.argsort(-size[every], kind="stable")]
-    rank = -size[every]
-    for k in range(0, int(-rank[0]) if len(rank) else 0, 8):
-        at = every[:np.searchsorted(rank, -k, "left")]  # spans of more than k bytes
-        rest = size[at] - k
-        x = eight[start[at] + k]
-        short = rest < 8
-        x[short] &= (U64(1) << (rest[short].astype(U64) * U64(8))) - U64(1)
-        out[at] = mix((out[at] ^ mix(x + U64(BASE))) * U64(0xC2B2AE3D27D4EB4F) + U64(k + 1))
-    for i in long:
-        out[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    every = np.flatnonzero(size < LONG_SPAN)
+    if len(every):
+        lo, hi = int(start[every].min()), int(end[every].max())
+        some = np.zeros(hi - lo + 8, np.uint8)
+        some[:hi - lo] = data[lo:hi] if fold is None else fold[data[lo:hi]]
+        eight = np.ndarray(hi - lo + 1, "<u8", some, strides=(1,))  # the eight bytes from each place
+        every = every[np.argsort(-size[every], kind="stable")]
+        rank = -size[every]
+        for k in range(0, int(-rank[0]), 8):
+            at = every[:np.searchsorted(rank, -k, "left")]  # spans of more than k bytes
+            rest = size[at] - k
+            x = eight[start[at] + (k - lo)]
+            short = rest < 8
+            x[short] &= (U64(1) << (rest[short].astype(U64) * U64(8))) - U64(1)
+            out[at] = mix((out[at] ^ mix(x + U64(BASE))) * U64(0xC2B2AE3D27D4EB4F) + U64(k + 1))
+    for i in np.flatnonzero(size >= LONG_SPAN):
+        x = data[start[i]:end[i]]
+        out[i] = int.from_bytes(hashlib.blake2b((x if fold is None else fold[x]).tobytes(), digest_size=8).digest(), "little")
     return out
 
 
