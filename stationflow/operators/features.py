@@ -5,25 +5,24 @@ replaces the positional column concatenation of the reference (J06).
 
 A plain ``Window.partitionBy(station)`` puts a whole station in one task; a
 weather network has few stations and one may hold a third of all rows. Here
-every ROWS-frame feature is evaluated over *chunks*:
-
-1. ``row_index`` gives each row its 0-based position ``_rix`` in its series
-   without a whole-series window: rows are counted per (station, time bucket),
-   a prefix sum over the (small) bucket-count table gives each bucket's offset,
-   and a ``row_number`` inside the bucket completes the position.
-2. ``_chunk = _rix // chunk_rows``. A frame that reaches back at most ``halo``
-   rows only needs the last ``halo`` rows of the previous chunk, so those rows
-   are copied into the next chunk as *halo* rows.
-3. The window runs over ``partitionBy(station, _chunk).orderBy(_rix)`` and the
-   halo rows are dropped. The result equals the plain per-station window
-   (``tests/test_features.py`` checks both forms), and no task sees more than
-   ``chunk_rows + halo`` rows of one series.
-
-``chunk_rows`` and ``bucket`` are plain parameters: they bound the work of one
-task and never change the result, and building a plan runs no job.
-``chunk_rows=None`` selects the plain form (one window partition per station)
-for series that are known to be short. Rows with a NULL station or time form
-series and buckets of their own and stay.
+every ROWS-frame feature is evaluated over *chunks of whole time buckets*:
+
+1. Rows are counted per (station, time bucket), with map-side combine. A prefix
+   sum over that small table tells how many rows come before each bucket; the
+   bucket's chunk is that number divided by ``chunk_rows``.
+2. Only stations of more than one chunk need a table: for each chunk its first
+   bucket and the bucket from which ``halo`` rows before it are sure to be. It
+   holds at most 2 N / ``chunk_rows`` chunks for N rows, and is broadcast.
+3. Every row names its chunk, and the chunks it is halo of, before it moves: one
+   exchange by (station, chunk), one sort, one window. Halo rows are dropped.
+
+The result equals the plain per-station window (``tests/test_features.py``
+checks both forms), and a task sees one chunk: ``chunk_rows`` rows, the rows of
+one bucket and the halo's buckets. ``chunk_rows`` and ``bucket`` never change the
+result, and building a plan runs no job. A table whose planned size cannot hold
+more than ``chunk_rows`` rows is a single chunk per station and takes the plain
+form, as does ``chunk_rows=None``. Rows with a NULL station or time form series
+and buckets of their own and stay.
 """
 
 from __future__ import annotations
@@ -37,9 +36,14 @@ from stationflow.spec import SeriesSpec
 
 # Rows per window chunk; bounds the largest group any window task sees.
 CHUNK_ROWS = 1 << 20
-# Time bucket used to number rows without a whole-series window ("day", "hour",
-# "minute"); one task numbers the rows of one station and bucket.
+# Time bucket of the chunk table ("day", "hour", "minute"): chunks begin and end
+# between buckets, so one task gets at least the rows of one station and bucket.
 INDEX_BUCKET = "hour"
+# A row is planned with at least so many bytes; below CHUNK_ROWS such rows a
+# table is one chunk.
+ROW_BYTES = 16
+# Chunks of one station that are searched together for a row's chunk.
+CHUNK_GROUP = 256
 
 # Default lag and rolling parameters (rows).
 DEFAULT_LAGS = (1, 3, 6, 12, 24, 48, 168)
@@ -48,73 +52,106 @@ DEFAULT_LAG_VARS = ("temperature", "dewpoint", "sea_level_pressure")
 DEFAULT_ROLL_VARS = ("temperature", "dewpoint")
 
 
-# Width of an index bucket when the series is ordered by a number instead of a time.
+# Width of a bucket when the series is ordered by a number instead of a time.
 INDEX_NUMERIC_WIDTH = 1024
-
-
-def _bucket_expr(df: DataFrame, time: str, bucket: str) -> Column:
-    typ = dict(df.dtypes)[time]
-    if typ.startswith("timestamp") or typ == "date":
-        return F.date_trunc(bucket, F.col(time))
-    return F.floor(F.col(time) / F.lit(INDEX_NUMERIC_WIDTH))
-
-
-def _bucket_counts(df: DataFrame, spec: SeriesSpec, bucket: str):
-    d = df.withColumn("_bkt", _bucket_expr(df, spec.time, bucket))
-    return d, d.groupBy(spec.station, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-
-
-def row_index(df: DataFrame, spec: SeriesSpec, bucket: str = INDEX_BUCKET) -> DataFrame:
-    """Adds ``_rix``: 0-based position of the row in its series order. Offsets
-    join null-safe, so rows with a NULL station or time are numbered too."""
-    d, counts = _bucket_counts(df, spec, bucket)
-    wb = Window.partitionBy(spec.station).orderBy("_bkt")
-    offs = counts.select(F.col(spec.station).alias("_s"), F.col("_bkt").alias("_b"), (F.sum("_cnt").over(wb) - F.col("_cnt")).alias("_off"))
-    rn = F.row_number().over(Window.partitionBy(spec.station, "_bkt").orderBy(*spec.order_cols()))
-    same = F.col(spec.station).eqNullSafe(F.col("_s")) & F.col("_bkt").eqNullSafe(F.col("_b"))
-    return d.join(offs, same).withColumn("_rix", F.col("_off") + rn - 1).drop("_off", "_bkt", "_s", "_b")
-
-
-def indexed(df: DataFrame, spec: SeriesSpec, chunk_rows: int | None = CHUNK_ROWS,
-            bucket: str = INDEX_BUCKET) -> DataFrame:
-    """Adds ``_rix`` and ``_chunk`` (``_chunk`` is 0 in the plain form)."""
-    if chunk_rows is None:
-        return df.select("*", (F.row_number().over(spec.window()) - 1).alias("_rix"),
-                         F.lit(0).cast("long").alias("_chunk"))
-    d = row_index(df, spec, bucket)
-    return d.withColumn("_chunk", F.floor(F.col("_rix") / F.lit(chunk_rows)).cast("long"))
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _bucket_no(df: DataFrame, time: str, bucket: str) -> Column:
+    """A number that never falls along the series order; NULL times come first."""
+    t, typ = F.col(time), dict(df.dtypes)[time]
+    if typ == "date":
+        no = F.unix_date(t).cast("long")
+    elif typ == "timestamp_ntz":
+        no = F.unix_date(t.cast("date")).cast("long")
+        for unit, size, part in (("hour", 24, F.hour), ("minute", 60, F.minute)):
+            if bucket != "day":
+                no = no * size + part(t)
+            if bucket == unit:
+                break
+    elif typ == "timestamp":
+        no = F.floor(F.unix_micros(t) / F.lit({"day": 86_400, "hour": 3600, "minute": 60}[bucket] * 1_000_000)).cast("long")
+    else:
+        no = F.when(F.isnan(t.cast("double")), F.lit(MOST)).otherwise(F.floor(t / F.lit(INDEX_NUMERIC_WIDTH)).cast("long"))
+    return F.coalesce(no, F.lit(LEAST))
+
+
+def chunk_table(df: DataFrame, spec: SeriesSpec, halo: int, chunk_rows: int, bucket: str = INDEX_BUCKET) -> DataFrame:
+    """``_s`` and ``_chunks`` for stations of more than one chunk: groups of
+    (no, lo, first, stop, start): the chunk's number, the first bucket of its
+    halo, its own first bucket, that of the chunk after it (NULL for the last),
+    and how many rows come before it."""
+    counts = (df.select(F.col(spec.station).alias("_s"), _bucket_no(df, spec.time, bucket).alias("_b"))
+              .groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n")))
+    upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_b"))
+    c = counts.select("_s", "_b", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"))
+    size = F.lit(chunk_rows)
+    home = F.floor(F.col("_before") / size)
+    # every chunk that may begin fewer than `halo` rows after this bucket's last row
+    last = F.floor((F.col("_upto") + F.lit(halo - 1)) / size) if halo > 0 else home
+    c = c.select("_s", "_b", "_before", home.alias("_home"), F.explode(F.sequence(home, F.greatest(home, last))).alias("no"))
+    own = F.col("_home") == F.col("no")
+    chunks = c.groupBy("_s", "no").agg(F.min("_b").alias("lo"), F.min(F.when(own, F.col("_b"))).alias("first"),
+                                       F.min(F.when(own, F.col("_before"))).alias("start")).where(F.col("first").isNotNull())
+    per = chunks.groupBy("_s").agg(F.array_sort(F.collect_list(F.struct("no", "lo", "first", "start"))).alias("_all")).where(F.size("_all") > 1)
+    whole = F.transform("_all", lambda x, i: F.struct(x["no"].alias("no"), x["lo"].alias("lo"), x["first"].alias("first"),
+                                                      F.get(F.col("_all"), i + 1)["first"].alias("stop"), x["start"].alias("start")))
+    per = per.select("_s", whole.alias("_all"))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / CHUNK_GROUP).cast("int")),
+                         lambda g: F.slice("_all", g * CHUNK_GROUP + 1, CHUNK_GROUP))
+    return per.select("_s", groups.alias("_chunks"))
+
+
+def dealt(df: DataFrame, spec: SeriesSpec, halo: int, chunk_rows: int, bucket: str = INDEX_BUCKET) -> DataFrame:
+    """The rows with ``_k`` (station and chunk), ``_h`` (whether the row is halo
+    there) and ``_start`` (rows of the station before the chunk); a row is there
+    once for its chunk and once for each chunk it is halo of."""
+    table = chunk_table(df, spec, halo, chunk_rows, bucket)
+    b = _bucket_no(df, spec.time, bucket)
+    holds = lambda lo, stop: (lo <= F.col("_b")) & (stop.isNull() | (F.col("_b") < stop))
+    groups = F.filter("_chunks", lambda g: holds(g[0]["lo"], F.element_at(g, -1)["stop"]))
+    found = F.flatten(F.transform(groups, lambda g: F.filter(g, lambda x: holds(x["lo"], x["stop"]))))
+    zero = F.lit(0).cast("long")
+    only = F.array(F.struct(zero.alias("no"), F.col("_b").alias("lo"), F.col("_b").alias("first"), F.lit(None).cast("long").alias("stop"), zero.alias("start")))
+    d = df.withColumn("_b", b).join(F.broadcast(table), F.col(spec.station).eqNullSafe(F.col("_s")), "left")
+    d = d.select(*df.columns, "_b", F.explode(F.when(F.col("_chunks").isNull(), only).otherwise(found)).alias("_c"))
+    return d.select(*df.columns, F.struct(F.col(spec.station).alias("s"), F.col("_c.no").alias("no")).alias("_k"),
+                    (F.col("_b") < F.col("_c.first")).alias("_h"), F.col("_c.start").alias("_start"))
 
 
 def chunk_window(spec: SeriesSpec) -> WindowSpec:
-    return Window.partitionBy(spec.station, "_chunk").orderBy("_rix")
+    return Window.partitionBy("_k").orderBy(*spec.order_cols())
 
 
-def with_halo(d: DataFrame, halo: int, chunk_rows: int | None) -> DataFrame:
-    """Each row (``_h`` false) plus, for each chunk's last ``halo`` rows, a copy
-    assigned to the next chunk (``_h`` true): one ``explode``, one pass."""
-    if chunk_rows is None or halo <= 0:
-        return d.withColumn("_h", F.lit(False))
-    if halo > chunk_rows:
-        raise ValueError("halo must not exceed chunk_rows")
-    tail = F.pmod(F.col("_rix"), F.lit(chunk_rows)) >= chunk_rows - halo
-    targets = F.when(tail, F.array(F.col("_chunk"), F.col("_chunk") + 1)).otherwise(F.array(F.col("_chunk")))
-    others = [c for c in d.columns if c != "_chunk"]
-    e = d.select(*others, F.col("_chunk").alias("_home"), F.explode(targets).alias("_chunk"))
-    return e.withColumn("_h", F.col("_chunk") != F.col("_home")).drop("_home")
+def one_chunk(df: DataFrame, chunk_rows: int | None) -> bool:
+    """Whether the plain form is asked for, or the planned size of ``df`` is below
+    that of ``chunk_rows`` rows (Spark's own estimate; no job runs)."""
+    if chunk_rows is None:
+        return True
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= chunk_rows * ROW_BYTES
 
 
 def windowed(df: DataFrame, spec: SeriesSpec, build: Callable[[WindowSpec], list[Column]],
              halo: int, chunk_rows: int | None = CHUNK_ROWS, keep_index: bool = False,
              bucket: str = INDEX_BUCKET) -> DataFrame:
     """Evaluates ``build(w)`` (window Columns whose ROWS frames reach at most
-    ``halo`` rows back and none forward) per series, chunked."""
-    if chunk_rows is None and not keep_index:
-        # plain form: one exchange, one sort, one Window node for all columns
-        return df.select("*", *build(spec.window()))
-    d = indexed(df, spec, chunk_rows, bucket)
-    d = with_halo(d, halo, chunk_rows)
-    out = d.select("*", *build(chunk_window(spec))).where(~F.col("_h")).drop("_h")
-    return out if keep_index else out.drop("_rix", "_chunk")
+    ``halo`` rows back and none forward) per series, chunked. ``keep_index`` adds
+    ``_rix``, the 0-based position of the row in its series."""
+    if one_chunk(df, chunk_rows):
+        # one exchange, one sort, one Window node for all columns
+        w = spec.window()
+        return df.select("*", *build(w), *([(F.row_number().over(w) - 1).cast("long").alias("_rix")] if keep_index else []))
+    d = dealt(df, spec, halo, chunk_rows, bucket)
+    w = chunk_window(spec)
+    own = F.sum(F.when(F.col("_h"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    index = [(F.col("_start") + own - 1).alias("_rix")] if keep_index else []
+    return d.select("*", *build(w), *index).where(~F.col("_h")).drop("_k", "_h", "_start")
+
+
+def row_index(df: DataFrame, spec: SeriesSpec, bucket: str = INDEX_BUCKET, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+    """Adds ``_rix``: 0-based position of the row in its series order; rows with a
+    NULL station or time are numbered too."""
+    return windowed(df, spec, lambda w: [], 0, chunk_rows, True, bucket)
 
 
 def lag_columns(w: WindowSpec, cols, lags) -> list[Column]:
@@ -155,14 +192,24 @@ def rolling(df: DataFrame, spec: SeriesSpec, cols=DEFAULT_ROLL_VARS, windows=DEF
                     halo, chunk_rows)
 
 
-def rolling_range(df: DataFrame, spec: SeriesSpec, cols, hours, stats=("ma",)) -> DataFrame:
-    """W02 by time instead of rows: frame = the last k hours (RANGE on epoch seconds)."""
+def rolling_range(df: DataFrame, spec: SeriesSpec, cols, hours, stats=("ma",), span: int = 8) -> DataFrame:
+    """W02 by time instead of rows: frame = the last k hours (RANGE on microseconds).
+
+    A station's time is cut into spans of ``span`` times the longest frame; a row
+    also goes to the next span if a frame there reaches back to it. A task holds
+    one span of one station; ``span`` never changes the result. Rows without a
+    time are peers of each other only."""
     micros = F.unix_micros(F.col(spec.time).cast("timestamp"))
-    d = df.withColumn("_epoch", micros)
-    w = Window.partitionBy(spec.station).orderBy("_epoch")
+    reach = max(hours) * 3_600_000_000 - 1
+    width = F.lit((reach + 1) * span)
+    cell = F.floor(F.col("_epoch") / width)
+    next_ = (cell + 1) * width - F.col("_epoch") <= reach
+    d = df.withColumn("_epoch", micros).withColumn("_home", cell)
+    d = d.withColumn("_cell", F.explode(F.when(next_, F.array(cell, cell + 1)).otherwise(F.array(cell))))
+    w = Window.partitionBy(spec.station, "_cell").orderBy("_epoch")
     out = [ROLL_STATS[s](c).over(w.rangeBetween(-k * 3_600_000_000 + 1, 0)).alias(f"{c}_{s}_{k}h_range")
            for c in cols for k in hours for s in stats]
-    return d.select("*", *out).drop("_epoch")
+    return d.select("*", *out).where(F.col("_home").eqNullSafe(F.col("_cell"))).drop("_epoch", "_home", "_cell")
 
 
 def time_series_features(df: DataFrame, spec: SeriesSpec, lag_vars, lag_list, roll_vars, windows,
@@ -178,13 +225,14 @@ def run_length(df: DataFrame, spec: SeriesSpec, predicate: Column, min_run: int,
     """Position of each row inside its run of consecutive rows meeting
     ``predicate`` (NULL outside runs) and ``{out}_flag`` = position ≥ ``min_run``.
 
-    Gaps-and-islands without a whole-series window: run starts are found with a
-    one-row halo; the last start before each chunk is a prefix max over the
-    small per-chunk summary table.
+    Gaps-and-islands without a whole-series window: inside a chunk, the position
+    counts from the last row that breaks the run; a run that is open at the
+    chunk's start goes on from the last break before, a prefix max over the
+    small table of chunks.
     """
-    if chunk_rows is None:
-        # plain form: position, run starts and the running max of the last
-        # start all over one station window (one exchange, one sort)
+    if one_chunk(df, chunk_rows):
+        # position, run starts and the running max of the last start, all over
+        # one station window (one exchange, one sort)
         w = spec.window()
         p = F.coalesce(predicate, F.lit(False))
         d = df.select("*", p.alias("_p"), F.row_number().over(w).alias("_rix"))
@@ -193,21 +241,20 @@ def run_length(df: DataFrame, spec: SeriesSpec, predicate: Column, min_run: int,
         d = d.select("*", F.when(F.col("_p"), F.col("_rix") - last + 1).cast("long").alias(out))
         return (d.select("*", F.coalesce(F.col(out) >= min_run, F.lit(False)).alias(f"{out}_flag"))
                 .drop("_p", "_start", "_rix"))
-    d = indexed(df.withColumn("_p", F.coalesce(predicate, F.lit(False))), spec, chunk_rows)
-    d = with_halo(d, 1, chunk_rows)
+    d = dealt(df.withColumn("_p", F.coalesce(predicate, F.lit(False))), spec, 0, chunk_rows)
     w = chunk_window(spec)
-    d = (d.select("*", (F.col("_p") & ~F.coalesce(F.lag("_p").over(w), F.lit(False))).alias("_start"))
-         .where(~F.col("_h")).drop("_h"))
-    start_ix = F.when(F.col("_start"), F.col("_rix"))
-    summary = d.groupBy(spec.station, "_chunk").agg(F.max(start_ix).alias("_cmax"))
-    wc = Window.partitionBy(spec.station).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(F.col(spec.station).alias("_s"), F.col("_chunk").alias("_c"), F.max("_cmax").over(wc).alias("_carry"))
-    d = d.join(carry, F.col(spec.station).eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c")), "left").drop("_s", "_c")
-    last = F.coalesce(F.max(start_ix).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carry"))
-    pos = F.when(F.col("_p"), F.col("_rix") - last + 1).cast("long")
-    res = d.select("*", pos.alias(out))
-    return (res.select("*", F.coalesce(F.col(out) >= min_run, F.lit(False)).alias(f"{out}_flag"))
-            .drop("_p", "_start", "_carry", "_rix", "_chunk"))
+    d = d.select("*", F.row_number().over(w).alias("_rn"))
+    broken = F.max(F.when(~F.col("_p"), F.col("_rn"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    d = d.select("*", broken.alias("_last"))
+    # position in the station of each chunk's last break, and of the last one before the chunk
+    per = d.groupBy("_k").agg((F.first("_start") + F.max("_last")).alias("_at"))
+    before = Window.partitionBy("_s").orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col("_k").alias("_key"), F.col("_k.s").alias("_s"), F.col("_k.no").alias("_no"), "_at")
+    per = per.select("_key", F.coalesce(F.max("_at").over(before), F.lit(0)).alias("_open"))
+    d = d.join(per, F.col("_k") == F.col("_key"))  # structs: NULL stations are equal
+    pos = F.col("_rn") - F.coalesce(F.col("_last"), F.col("_open") - F.col("_start"))
+    res = d.select(*df.columns, F.when(F.col("_p"), pos).cast("long").alias(out))
+    return res.select("*", F.coalesce(F.col(out) >= min_run, F.lit(False)).alias(f"{out}_flag"))
 
 
 # Name patterns of the feature catalogue groups.

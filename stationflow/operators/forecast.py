@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.operators.features import row_index
+from stationflow.operators.joins import keyed_join
 from stationflow.operators.metrics import regression_metrics
 from stationflow.spec import SeriesSpec
 
@@ -24,12 +25,13 @@ def persistence(train: DataFrame, test: DataFrame, spec: SeriesSpec, y: str,
         order = F.struct(*spec.order_cols())
         last = (train.where(F.col(y).isNotNull()).groupBy(spec.station)
                 .agg(F.max_by(F.col(y), order).alias("y_hat")))
-        return test.join(last, spec.station, "left")
+        return keyed_join(test, last, [spec.station])
     if mode == "lag1":
         from stationflow.operators.features import lags
         both = train.unionByName(test.select(*train.columns))
         out = lags(both, spec, (y,), (1,)).withColumnRenamed(f"{y}_lag_1h", "y_hat")
-        return out.join(test.select(spec.station, *spec.order_names()), [spec.station, *spec.order_names()])
+        keys = [spec.station, *spec.order_names()]
+        return keyed_join(out, test.select(*keys), keys, "inner")
     raise ValueError(mode)
 
 
@@ -42,17 +44,16 @@ def seasonal_naive(train: DataFrame, test: DataFrame, spec: SeriesSpec, y: str,
     mean = train.groupBy(spec.station).agg(F.avg(y).alias("_mean"), F.count(F.lit(1)).alias("_n"))
     if by == "rows":
         tr = row_index(train, spec).select(spec.station, F.col("_rix").alias("_tix"), F.col(y).alias("_ty"))
-        te = row_index(test, spec).join(mean, spec.station, "left")
+        te = keyed_join(row_index(test, spec), mean, [spec.station])
         te = te.withColumn("_tix", F.col("_n") - period + F.col("_rix"))
-        j = te.join(tr, [spec.station, "_tix"], "left")
+        j = keyed_join(te, tr, [spec.station, "_tix"])
         out = j.withColumn("y_hat", F.coalesce(F.col("_ty"), F.col("_mean")))
         return out.drop("_tix", "_ty", "_mean", "_n", "_rix")
     if by == "calendar":
-        tr = train.select(spec.station, (F.col(spec.time) + F.expr(f"INTERVAL {period} DAYS")).alias("_t"),
+        tr = train.select(spec.station, (F.col(spec.time) + F.expr(f"INTERVAL {period} DAYS")).alias(spec.time),
                           F.col(y).alias("_ty"))
-        j = test.join(mean, spec.station, "left").join(
-            tr, (test[spec.station] == tr[spec.station]) & (test[spec.time] == tr["_t"]), "left")
-        return j.select(*[test[c] for c in test.columns], F.coalesce("_ty", "_mean").alias("y_hat"))
+        j = keyed_join(keyed_join(test, mean, [spec.station]), tr.where(F.col(spec.time).isNotNull()), [spec.station, spec.time])
+        return j.select(*test.columns, F.coalesce("_ty", "_mean").alias("y_hat"))
     raise ValueError(by)
 
 

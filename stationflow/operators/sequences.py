@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.operators.features import CHUNK_ROWS, windowed
+from stationflow.operators.joins import keyed_join
 from stationflow.spec import SeriesSpec
 
 
@@ -44,7 +45,7 @@ def sequences(df: DataFrame, spec: SeriesSpec, features: list[str], target: str,
         out = out.where(F.pmod(F.col("_rix") - first, F.lit(stride)) == 0)
     if drop_tail:
         n = df.groupBy(spec.station).agg(F.count(F.lit(1)).alias("_n"))
-        out = out.join(n, spec.station).where(F.col("_rix") < F.col("_n") - 1).drop("_n")
+        out = keyed_join(out, n, [spec.station], "inner").where(F.col("_rix") < F.col("_n") - 1).drop("_n")
     keys = [spec.station] + spec.order_names()
     return out.select(*keys, "x", F.col(target).alias("y"))
 
