@@ -112,7 +112,11 @@ def postings(docs: DataFrame, block: Block) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
                        + ["n_words long", "terms binary", "counts binary", "positions binary"])
+    return docs.mapInArrow(_indexing(block, keep), schema)
 
+
+def _indexing(block: Block, keep: list[str]):
+    """Batches of rows -> batches of postings."""
     def index(batches):
         for b in batches:
             for part in _slices(b, b.column("text"), 4 << 20):
@@ -133,7 +137,7 @@ def postings(docs: DataFrame, block: Block) -> DataFrame:
                        _packed(at - first[own], np.searchsorted(own, n))],
                     keep + ["n_words", "terms", "counts", "positions"])
 
-    return docs.mapInArrow(index, schema)
+    return index
 
 
 def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -221,6 +225,11 @@ def search(index: DataFrame, block: Block, near: int = 2 * WINDOW) -> DataFrame:
     ``near`` words of one of their rarest word)."""
     keep = [c for c in index.columns if c not in ("terms", "counts", "positions")]
     schema = ", ".join([f"`{c}` {index.schema[c].dataType.simpleString()}" for c in keep] + [MARKS])
+    return index.mapInArrow(_searching(block, keep, near), schema)
+
+
+def _searching(block: Block, keep: list[str], near: int):
+    """Batches of postings -> batches of marks."""
     names = pa.array(block.names, pa.string())
 
     def run(batches):
@@ -239,7 +248,15 @@ def search(index: DataFrame, block: Block, near: int = 2 * WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [hits, items, pa.array(np.diff(np.searchsorted(close >> 32, rows)))],
                                                  keep + ["hits", "items", "near"])
 
-    return index.mapInArrow(run, schema)
+    return run
+
+
+def _marked(docs: DataFrame, block: Block, near: int) -> DataFrame:
+    """``search(postings(docs))`` with both steps in one Python worker."""
+    keep = [c for c in docs.columns if c != "text"]
+    index, run = _indexing(block, keep), _searching(block, [*keep, "n_words"], near)
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_words long", MARKS])
+    return docs.mapInArrow(lambda batches: run(index(batches)), schema)
 
 
 def _blocks(windows: DataFrame, parts: int):
@@ -273,10 +290,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     for block in _blocks(windows, parts):
         block.rank_by(term_counts(rows, block))
         if marked is None:
-            marked = search(postings(rows, block), block, near)
+            marked = _marked(rows, block, near)
             continue
         had = materialize(marked.select(F.struct("row", "hits", "items", "near").alias("had"), F.col("row.text").cast("string").alias("text")))
-        got = search(postings(had, block), block, near)
+        got = _marked(had, block, near)
         marked = got.select("had.row", "n_words", F.array_union("had.hits", "hits").alias("hits"),
                             F.array_union("had.items", "items").alias("items"), (F.col("had.near") + F.col("near")).alias("near"))
     return marked.select("row.*", F.col("n_words").alias("_n_words"), F.col("hits").alias("_hits"),

@@ -282,9 +282,10 @@ def _matrix_links(cand: DataFrame, leaders: DataFrame, roots: DataFrame, percent
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """Rows written to the shared folder and read again: later plans read only the
-    columns they need and know the size of the table."""
+    columns they need and know the size of the table. Hashes have no dictionary,
+    and small row groups keep little in memory."""
     path = work_path(rows.sparkSession, f"jaccard-{name}")
-    rows.write.parquet(path)
+    rows.write.option("parquet.enable.dictionary", "false").option("parquet.block.size", 16 << 20).parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
