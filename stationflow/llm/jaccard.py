@@ -194,9 +194,9 @@ def _leaders(cand: DataFrame) -> DataFrame:
 
 def _leader_links(cand: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
     size = cand.select("sid", "tokens")
-    left = leaders.join(size, "sid").select(F.col("sid").alias("a"), "leader", F.col("tokens").alias("x"))
+    left = leaders.join(size.hint("merge"), "sid").select(F.col("sid").alias("a"), "leader", F.col("tokens").alias("x"))
     lead = size.join(leaders.select(F.col("leader").alias("sid")).distinct(), "sid", "left_semi")
-    both = left.join(lead, left["leader"] == lead["sid"]).select("a", F.col("leader").alias("b"), "x", F.col("tokens").alias("y"))
+    both = left.join(lead.hint("merge"), left["leader"] == lead["sid"]).select("a", F.col("leader").alias("b"), "x", F.col("tokens").alias("y"))
     few = F.least(F.octet_length("x"), F.octet_length("y")) * 100 >= percent * F.greatest(F.octet_length("x"), F.octet_length("y"))
     return _pairs(both.where(few), percent)
 
@@ -259,10 +259,12 @@ def _matrix_links(cand: DataFrame, leaders: DataFrame, roots: DataFrame, percent
     # numbers only; packed sets join them by column where they are needed
     c = stored(c.withColumn("label", F.when(F.col("size") > 0, F.col("root")).otherwise(F.col("group")))
                .select("sid", "root", "size", "label", "group"), "groups")
+    # planned as sorted joins at every size: these tables grow with the documents
+    wide = c.hint("merge")
     tokens = cand.select("sid", "tokens")
-    matrix = _exploded(cand.select("sid", "sampled").join(c, "sid"), "sampled", ["group", "label", "size"], "token").groupBy("token", "group").agg(
+    matrix = _exploded(cand.select("sid", "sampled").join(wide, "sid"), "sampled", ["group", "label", "size"], "token").groupBy("token", "group").agg(
         F.first("label").alias("label2"), F.first("size").alias("size2"))
-    asks = _exploded(cand.select("sid", "need", "probes").join(c, "sid"), "probes", ["sid", "label", "size", "need"], "token")
+    asks = _exploded(cand.select("sid", "need", "probes").join(wide, "sid"), "probes", ["sid", "label", "size", "need"], "token")
     larger = (F.col("size2") > F.col("size")) | ((F.col("size2") == F.col("size")) & (
         (F.col("label2") > F.col("label")) | ((F.col("size") == 0) & (F.col("label2") == F.col("label")))))
     hits = asks.join(matrix, "token").where(larger).groupBy("sid", "group").agg(F.count("*").alias("n"), F.first("need").alias("need"))
@@ -271,10 +273,10 @@ def _matrix_links(cand: DataFrame, leaders: DataFrame, roots: DataFrame, percent
     opened = stored(hits.where("n >= need").select("sid", "group").join(own, ["sid", "group"], "left_anti"), "opened")
     copies = opened.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).alias("copies"))
     asking = (opened.join(copies, "group").withColumn("copy", F.pmod(F.xxhash64("sid"), F.col("copies")).cast("int"))
-              .join(c.select("sid", "root"), "sid").join(tokens, "sid")
+              .join(wide.select("sid", "root"), "sid").join(tokens.hint("merge"), "sid")
               .select(F.col("group").alias("asked"), F.col("copy").alias("part"), F.col("sid").alias("asker"),
                       F.col("root").alias("above"), F.col("tokens").alias("set")))
-    members = (c.select("group", "sid", "root").join(copies, "group").join(tokens, "sid")
+    members = (c.select("group", "sid", "root").join(copies, "group").join(tokens.hint("merge"), "sid")
                .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))).select("group", "copy", "sid", "root", "tokens"))
     return members.groupBy("group", "copy").cogroup(asking.groupBy("asked", "part")).applyInArrow(
         lambda m, a: _open(m, a, percent), "a long, b long")
