@@ -3,9 +3,9 @@
 All metrics are aggregates over ``(truth, prediction/score)`` columns, so
 they run where the scores are (no collect). Cumulative sums over the score
 order (AUC, ROC) avoid a single-partition window over rows: distinct scores
-are pre-aggregated, cut into ordered score buckets, each bucket's offset comes
-from a prefix sum over the small bucket-total table, and the running sum
-inside a bucket is a window partitioned by bucket.
+are pre-aggregated and dealt into ordered ranges by splitters from the data,
+each range's offset comes from a prefix sum over the small table of range
+totals, and the running sum inside a range is a window over that range.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCORE_BUCKETS = 4096
+from stationflow.operators.joins import keyed_join
+
+# Ranges of an order are a square of these: without and with group keys.
+SCORE_WIDTH, GROUP_WIDTH = 32, 8
 
 
 def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
@@ -114,40 +117,48 @@ def _score_counts(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame
                  F.sum(F.when(yc == 1, 0).otherwise(1)).cast("long").alias("neg")))
 
 
+def _cuts(g: DataFrame, by: list[str], order: str, width: int) -> DataFrame:
+    """Splitters of the distinct order values of each group, about equally many
+    values apart (a mergeable quantile sketch): ``_tails``, ``width`` arrays of
+    ``width`` ascending splitters, and ``_heads``, the first of each."""
+    n = width * width
+    at = [k / (n + 1) for k in range(1, n + 1)]
+    cut = g.groupBy(*by).agg(F.percentile_approx(order, at, F.lit(8 * n)).alias("_cut"))
+    tails = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.slice("_cut", i * width + 1, width))
+    return cut.select(*by, tails.alias("_tails")).select("*", F.transform("_tails", lambda t: t[0]).alias("_heads"))
+
+
 def cumulative(g: DataFrame, by: list[str], order: str, cols: list[str], descending: bool = False,
-               buckets: int = SCORE_BUCKETS, totals: bool = False) -> DataFrame:
+               width: int | None = None, totals: bool = False) -> DataFrame:
     """Adds ``cum_{c}`` = sum of ``c`` over rows with order value ≤ (or ≥ when
     descending) the row's, within ``by``; exact. ``g`` holds one row per
-    (by, order value). Buckets come from a monotone map of the value: with
-    group keys, ``atan((v − mean) / std)`` over the group's distinct values
-    (a join inside the same plan), so buckets spread over each group's own
-    range; without keys, ``atan(v)`` (no extra pass over the input). Only the
-    ordering matters for exactness; the map only balances bucket sizes.
-    ``totals`` adds ``tot_{c}``, the group total, carried on the bucket table."""
+    (by, order value).
+
+    The values of each group are dealt into ``width``² + 1 ranges by splitters
+    from a sketch of the data (as a sample sort does), so ranges are of like size
+    wherever the values lie; a value finds its range in two steps of ``width``
+    comparisons. A prefix sum over the table of range totals gives each range
+    its offset, and the running sum inside a range is a window over that range.
+    NULL keys form a group of their own. ``totals`` adds ``tot_{c}``, the group
+    total, carried on the range table."""
+    width = width or (GROUP_WIDTH if by else SCORE_WIDTH)
     o = F.col(order)
-    g0 = g
-    if by:
-        st = g.groupBy(*by).agg(F.avg(order).alias("_mu"), F.stddev_pop(order).alias("_sd"))
-        g = g.join(st, by, "left")
-        sd = F.col("_sd")
-        z = (o - F.col("_mu")) / F.when(sd > 0, sd).otherwise(F.lit(1.0))
-    else:
-        z = o
-    b = F.least(F.floor((F.atan(z) / F.lit(3.141592653589793) + F.lit(0.5)) * buckets),
-                F.lit(buckets - 1)).cast("int")
-    if descending:
-        b = F.lit(buckets - 1) - b
-    gb = g.select(*g0.columns, b.alias("_b"))
-    g = g0
-    tot = gb.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    # prefix over bucket totals: at most `buckets` rows per group
-    wb = Window.partitionBy(*by).orderBy("_b")
-    offs = tot.select(*by, "_b", *[(F.sum(f"_t_{c}").over(wb) - F.col(f"_t_{c}")).alias(f"_o_{c}") for c in cols],
-                      *([F.sum(f"_t_{c}").over(Window.partitionBy(*by)).alias(f"tot_{c}") for c in cols]
-                        if totals else []))
-    j = gb.join(offs, [*by, "_b"], "left")
-    wl = Window.partitionBy(*by, "_b").orderBy(o.desc() if descending else o.asc()).rowsBetween(
-        Window.unboundedPreceding, 0)
+    cut = _cuts(g, by, order, width)
+    cut = cut.withColumnRenamed("_heads", "_h") if by else cut.select(F.struct("_tails", F.col("_heads").alias("_h")).alias("_one"))
+    d = keyed_join(g, cut, by, "inner") if by else g.withColumn("_one", cut.scalar()).select("*", "_one.*")
+    head = F.size(F.filter("_h", lambda x: x < o))
+    tail = F.size(F.filter(F.get("_tails", F.greatest(head - 1, F.lit(0))), lambda x: x < o))
+    no = F.when(head == 0, 0).otherwise((head - 1) * width + tail)
+    no = (F.lit(width * width) - no) if descending else no
+    # one key column: joins and windows on it share a partitioning, and NULL keys are equal in it
+    d = d.select(*g.columns, F.struct(*[F.col(c) for c in by], no.cast("int").alias("_b")).alias("_k"))
+    tot = d.groupBy("_k").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wb = Window.partitionBy(*[F.col("_k")[c] for c in by])
+    run = wb.orderBy(F.col("_k._b"))  # at most width² + 1 rows per group
+    offs = tot.select(F.col("_k").alias("_r"), *[(F.sum(f"_t_{c}").over(run) - F.col(f"_t_{c}")).alias(f"_o_{c}") for c in cols],
+                      *([F.sum(f"_t_{c}").over(wb).alias(f"tot_{c}") for c in cols] if totals else []))
+    j = d.join(offs, F.col("_k") == F.col("_r"))
+    wl = Window.partitionBy("_k").orderBy(o.desc() if descending else o.asc()).rowsBetween(Window.unboundedPreceding, 0)
     return j.select(*g.columns, *[(F.col(f"_o_{c}") + F.sum(c).over(wl)).alias(f"cum_{c}") for c in cols],
                     *([f"tot_{c}" for c in cols] if totals else []))
 
@@ -179,8 +190,7 @@ def auc_ovr(df: DataFrame, y: str, prob_cols: dict[int, str]) -> DataFrame:
 
 def roc_points(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
     """One point per distinct score threshold (descending): fpr, tpr.
-    Class totals ride on the bucket-total table (at most 4096 rows per
-    group), so no extra pass and no window over all distinct scores."""
+    Class totals ride on the table of range totals, so no extra pass and no window over all distinct scores."""
     by = by or []
     g = _score_counts(df, y, score, by)
     c = cumulative(g, by, "s", ["pos", "neg"], descending=True, totals=True)
@@ -207,7 +217,7 @@ def binary_station_metrics(df: DataFrame, station: str, y: str, p: str, cut: flo
                              2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
                  .otherwise(0.0).alias("f1"))
     a = auc(df, y, p, [station], one_class=0.0).select(station, "auc")
-    return m.join(a, station, "left")
+    return keyed_join(m, a, [station])
 
 
 EPS = 1e-7

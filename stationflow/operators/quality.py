@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationflow.operators.gram import correlation, cross_products
 from stationflow.spec import SeriesSpec
 
 
@@ -112,10 +113,10 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: list[str] | None = No
 
 
 def feature_corr(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """Pearson correlation of every column with the target (one pass),
-    long form with |r| and a strength bucket."""
-    wide = df.agg(*[F.corr(c, target).alias(c) for c in cols])
-    long = wide.unpivot([], cols, "feature", "r")
+    """Pearson correlation of every column with the target (one pass), with
+    |r| and a strength bucket."""
+    long = cross_products(df, [*cols, target]).where(F.col("b") == target).where(F.col("a") != target)
+    long = long.select(F.col("a").alias("feature"), correlation().alias("r"))
     a = F.abs(F.col("r"))
     return long.select("feature", "r", a.alias("abs_r"),
                        F.when(a >= 0.7, "strong").when(a >= 0.3, "moderate").when(a >= 0.1, "weak")
@@ -139,13 +140,10 @@ def outliers(df: DataFrame, cols: list[str], z: float = 3.0) -> DataFrame:
 
 
 def correlated_pairs(df: DataFrame, cols: list[str], threshold: float = 0.95) -> DataFrame:
-    """Pairs of columns with |r| above the threshold (one pass over rows;
-    the pair grid is over column names, not rows)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    long = wide.unpivot([], [f"{a}__{b}" for a, b in pairs], "pair", "r")
-    return (long.where(F.abs("r") > threshold)
-            .select(F.split("pair", "__")[0].alias("a"), F.split("pair", "__")[1].alias("b"), "r"))
+    """Pairs of columns with |r| above the threshold, from one pass of
+    cross-products; the pair grid is over column names, not rows."""
+    long = cross_products(df, cols).where(F.col("a") != F.col("b")).select("a", "b", correlation().alias("r"))
+    return long.where(F.abs("r") > threshold)
 
 
 # Name patterns of engineered features (lags, rolling stats,
@@ -155,22 +153,25 @@ ENGINEERED = r"(_lag_\d+h|_(ma|std|min|max)_\d+h|_sin|_cos|_diff|_product|_ratio
 
 def diagnosis(df: DataFrame, features: list[str], corr_threshold: float = 0.95, z: float = 3.0) -> DataFrame:
     """Rows per feature, share of engineered features, number of highly
-    correlated feature pairs and % of |z| > z cells, as one row. Correlations
-    are one aggregate over the rows; z uses one population-stats row."""
+    correlated feature pairs and % of |z| > z cells, as one row. Correlations,
+    means and deviations are read from one table of cross-products."""
     import re
 
     n_eng = sum(1 for c in features if re.search(ENGINEERED, c))
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    st = df.agg(*[x for c in features for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
-    zcount = [F.count_if(F.abs((F.col(c) - F.lit(st[f"m_{c}"])) / F.lit(st[f"s_{c}"])) > z)
-              for c in features if st[f"s_{c}"]]
-    high = [F.when(F.abs(F.corr(a, b)) > corr_threshold, 1).otherwise(0) for a, b in pairs]
+    # means and deviations come from the same table as the correlations
+    pairs = cross_products(df, features).withColumn("r", correlation()).collect()  # one row for each pair of columns
+    high = sum(1 for p in pairs if p["a"] != p["b"] and p["r"] is not None and abs(p["r"]) > corr_threshold)
+    zcount = []
+    for p in pairs:
+        if p["a"] == p["b"] and p["n"] and p["n"] * p["sxx"] > p["sx"] ** 2:
+            mean = p["sx"] / p["n"]
+            zcount.append(F.count_if(F.abs((F.col(p["a"]) - F.lit(mean)) / F.lit((p["sxx"] / p["n"] - mean * mean) ** 0.5)) > z))
     n = F.count(F.lit(1))
     return df.agg(
         n.alias("n_rows"), F.lit(len(features)).alias("n_features"),
         (n / F.lit(len(features))).alias("rows_per_feature"),
         F.lit(n_eng / len(features)).alias("share_engineered"),
-        sum(high, F.lit(0)).alias("n_high_corr_pairs"),
+        F.lit(high).alias("n_high_corr_pairs"),
         (sum(zcount, F.lit(0)) * 100.0 / (n * F.lit(len(features)))).alias("outlier_cell_pct"))
 
 

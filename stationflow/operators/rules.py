@@ -377,6 +377,20 @@ def concept_edges(spark: SparkSession) -> DataFrame:
     return out
 
 
+def concept_closure(edges: DataFrame) -> DataFrame:
+    """Every (name, target) that a path of ``edges`` (name, target) leads to, as
+    a recursive query. A path never meets a concept twice, so cycles end. The
+    catalogue of concepts is of fixed size."""
+    edges.createOrReplaceTempView("_concept_edges")
+    return edges.sparkSession.sql("""
+        WITH RECURSIVE reach(name, target, path) AS (
+          SELECT name, target, array(name, target) FROM _concept_edges
+          UNION ALL
+          SELECT r.name, e.target, array_append(r.path, e.target) FROM reach r JOIN _concept_edges e ON r.target = e.name
+          WHERE NOT array_contains(slice(r.path, 2, size(r.path)), e.target))
+        SELECT DISTINCT name, target FROM reach""")
+
+
 def consensus(df: DataFrame, pred: str, rule: str) -> DataFrame:
     """HIGH_CONFIDENCE when model class and rule class agree, else REVIEW."""
     return df.select("*", F.when(F.col(pred) == F.col(rule), F.lit("HIGH_CONFIDENCE"))

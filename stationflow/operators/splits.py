@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Default split bounds (midnight timestamps, T5).
@@ -50,9 +50,22 @@ def complete_cases(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.dropna(subset=cols)
 
 
+def key_hash(key: list[str], seed: int = 42) -> Column:
+    """MD5 of the seed and the key columns as text; any engine can compute it."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))
+
+
 def sample_det(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """Reproducible sample of ``n`` rows: the n smallest hashes of
-    (key, seed). ``orderBy(...).limit(n)`` plans as a distributed top-k
-    (TakeOrderedAndProject): each task keeps n rows, nothing is sorted globally."""
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h", *key).limit(n).drop("_h")
+    """Reproducible bottom-k sample, the ``n`` rows with the smallest hashes
+    of (seed, key), the same for any partitioning. ``orderBy(...).limit(n)`` plans
+    as a distributed top-k (TakeOrderedAndProject): each task keeps a heap of n
+    rows, and heaps are merged; nothing is sorted globally."""
+    return df.withColumn("_h", key_hash(key, seed)).orderBy("_h", *key).limit(n).drop("_h")
+
+
+def sample_per(df: DataFrame, by: list[str], key: list[str], n: int, seed: int = 42) -> DataFrame:
+    """O08 per group: the ``n`` rows of each group with the smallest hashes. The
+    row-number limit is planned with a partial limit before the shuffle, so a hot
+    group sends at most n rows from each task."""
+    w = Window.partitionBy(*by).orderBy(key_hash(key, seed), *key)
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

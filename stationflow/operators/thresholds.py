@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stationflow.operators.joins import keyed_join
+
 # Quantile names and levels of the threshold table.
 THRESHOLD_QS = {"p99": 0.99, "p95": 0.95, "p90": 0.90, "p10": 0.10, "p05": 0.05, "p01": 0.01}
 
@@ -45,7 +47,7 @@ def thresholds(train: DataFrame, station: str = "station_id", value: str = "temp
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact quantiles (linear interpolation at rank q·(n−1), NULLs skipped)
     without a per-group value map: rows are counted per (group, value) with
-    map-side combine, cumulative counts come from the bucketed prefix sums of
+    map-side combine, cumulative counts come from the ranged prefix sums of
     ``operators.metrics.cumulative`` (no window spans a group), and each
     quantile is a conditional ``min`` in one final aggregate. Memory per task
     is bounded whatever the number of distinct values."""
@@ -55,7 +57,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, floa
               .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     c = cumulative(counts, by, "_v", ["_c"])
     n = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    j = c.join(n, by)
+    j = keyed_join(c, n, by, "inner")
     aggs = []
     for name, q in qs.items():
         pos = F.lit(q) * (F.col("_n") - 1)

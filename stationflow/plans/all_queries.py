@@ -8,3 +8,4 @@ from stationflow.plans import model_queries  # noqa: F401
 from stationflow.plans import source_queries  # noqa: F401
 from stationflow.plans import stream_queries  # noqa: F401
 from stationflow.plans import report_queries  # noqa: F401
+from stationflow.plans import more_queries  # noqa: F401

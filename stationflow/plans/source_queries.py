@@ -237,8 +237,9 @@ def q_first_per_class(spark, d):
     return TK.first_per(lab, ["extreme_event"], ["datetime", "event_id"], ["event_id", "datetime"])
 
 
-@query("sample_det")
+@query("sample_det", f"""WITH {OBS_SQL} SELECT station_id, event_id, temperature FROM obs
+ORDER BY md5(concat_ws(':', '42', station_id, event_id)), station_id, event_id LIMIT 1000""")
 def q_sample_det(spark, d):
-    """Reproducible 1,000-row sample (hash order; the sampling is the feature)."""
+    """Reproducible bottom-k sample of 1,000 rows by key hash (the sampling is the feature)."""
     o = observations(spark, d)
     return S.sample_det(o, ["station_id", "event_id"], 1000, 42).select("station_id", "event_id", "temperature")
