@@ -48,8 +48,9 @@ def resolve_files(files: DataFrame, stations: DataFrame, start_year: int = START
     """One file per (station, year) by layout priority:
     0 ``{year}/{st}-{year}/{st}-{year}``, 1 ``{year}/{st}-{year}``,
     2 ``{year}/{st}/{st}-{year}``, 3 any file under ``{year}/`` whose name
-    contains the station then the year. Layouts 0–2 are path parses and an
-    equi-join; the name search (3) only runs for pairs still unresolved."""
+    contains the station then the year. All are equi-joins: layouts 0–2 on
+    parsed paths, the name search (3), which only runs for pairs still
+    unresolved, on an index of the parts of every name."""
     p = F.col("path")
     pats = {0: r"/(\d{4})/([^/]+)-(\d{4})/([^/]+)-(\d{4})$",
             1: r"/(\d{4})/([^/]+)-(\d{4})$",
@@ -72,12 +73,14 @@ def resolve_files(files: DataFrame, stations: DataFrame, start_year: int = START
         F.col(station_col).alias("station"), "year")
     direct = grid.join(known, ["station", "year"])
     unresolved = grid.join(direct.select("station", "year"), ["station", "year"], "left_anti")
-    by_year = files.select("path", F.regexp_extract(p, r"/(\d{4})/", 1).cast("int").alias("year"),
-                           F.regexp_extract(p, r"([^/]+)$", 1).alias("_name"))
-    pos = F.expr("locate(station, _name)")
-    rest = F.expr("substr(_name, locate(station, _name) + length(station))")
-    cand = unresolved.join(by_year, "year").select("*", pos.alias("_pos"), rest.alias("_rest"))
-    search = (cand.where((F.col("_pos") > 0) & (F.expr("locate(cast(year AS string), _rest)") > 0))
+    # index of names: every part of a name as long as some station code, by year
+    name = files.select("path", F.regexp_extract(p, r"/(\d{4})/", 1).cast("int").alias("year"), F.regexp_extract(p, r"([^/]+)$", 1).alias("_name"))
+    sizes = stations.agg(F.collect_set(F.length(station_col)).alias("sizes")).scalar()
+    name = name.withColumn("_sizes", sizes).where(F.length("_name") > 0)
+    token = F.flatten(F.transform(F.sequence(F.lit(1), F.length("_name")), lambda i: F.transform("_sizes", lambda n: F.struct(
+        F.substring("_name", i, n).alias("station"), i.alias("at")))))
+    index = name.select("path", "year", "_name", F.explode(token).alias("t")).select("path", "year", "_name", "t.*")
+    search = (unresolved.join(index, ["station", "year"]).where(F.expr("locate(cast(year AS string), substr(_name, at + length(station))) > 0"))
               .select("path", "station", "year", F.lit(3).alias("priority")))
     allc = direct.unionByName(search)
     best = allc.groupBy("station", "year").agg(F.min_by("path", F.struct("priority", "path")).alias("path"),
