@@ -348,6 +348,7 @@ def without_near_copies(docs: DataFrame, percent: int = PERCENT, shard_bytes: in
     told = stored(told.groupBy("no", "of").agg(F.max("out").alias("out")), "verdicts")
     names = [f"`{c}`" for c in docs.columns]
     marked = docs.select(F.struct(*names).alias("doc"), no, of)
-    marked = marked.join(told.select(F.col("no").alias("no2"), F.col("of").alias("of2"), "out"), (F.col("no") == F.col("no2")) & F.col("of").eqNullSafe(F.col("of2")), "left")
+    told = told.select(F.col("no").alias("no2"), F.col("of").alias("of2"), "out").hint("merge")  # it grows with the documents
+    marked = marked.join(told, (F.col("no") == F.col("no2")) & F.col("of").eqNullSafe(F.col("of2")), "left")
     return marked.where("out is null").select("doc.*").unionByName(
         marked.where("not out").select("doc.*").dropDuplicates(["doc_id", "text"]))

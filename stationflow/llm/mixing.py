@@ -56,15 +56,17 @@ def mix(docs: DataFrame, range_rows: int = RANGE_ROWS, seed: str = SEED, most: i
     size is the number of words (runs of other than blank characters) of the
     text; null and empty texts have 0 and nothing is taken from them. Sources
     may be null (one source of its own, last in order). Rows are sorted within a
-    source by the MD5 digest of seed and doc_id, then by doc_id (null first) and
-    size; rows alike in all of these are interchangeable. The last document
+    source by the MD5 digest of seed, doc_id and text, then by doc_id (null first)
+    and size; rows alike in all of these are interchangeable. The last document
     within the budget is cut, so each source's taken words are its target
     rounded down. An empty table gives an empty result. Other columns than
     doc_id, text and source are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       words(F.col("text").cast("string")).alias("size"))
-    rows = materialize(rows.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+                       words(F.col("text").cast("string")).alias("size"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("digest"))
+    # the text counts too, so that rows without an id (or with the same) are spread over all ranges
+    key = F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("digest"))
+    rows = materialize(rows.withColumn("key", F.md5(key.cast("binary"))).drop("digest")
                        .withColumn("lead", F.conv(F.substring("key", 1, 8), 16, 10).cast("long")))
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(per.select("source", "source_size"), most)
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, range_rows: int = RANGE_ROWS, seed: str = SEED, most: i
 MIX_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         MD5(CONCAT('{SEED}', COALESCE(doc_id::VARCHAR, ''))) AS k
+         MD5(CONCAT('{SEED}', COALESCE(doc_id::VARCHAR, ''), ':', MD5(COALESCE(text, '')))) AS k
   FROM {{docs}}),
 p AS (SELECT source, SUM(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((ROW_NUMBER() OVER (ORDER BY source IS NULL, ENCODE(source)) - 1) % 3 + 1)::BIGINT AS weight FROM p),

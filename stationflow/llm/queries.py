@@ -136,6 +136,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_quality(docs, quality.fit_quality(docs, read_table(spark, sf_dir, "labels")))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    held = F.coalesce(held, F.lit(False))  # a row without an id is held out by nothing, nor does it have a label
     return scored.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_label").alias("predicted"))
 
 
