@@ -10,3 +10,4 @@ from stationflow.plans import stream_queries  # noqa: F401
 from stationflow.plans import report_queries  # noqa: F401
 from stationflow.plans import more_queries  # noqa: F401
 from stationflow.plans import tree_queries  # noqa: F401
+from stationflow.plans import band_queries  # noqa: F401

@@ -109,3 +109,14 @@ def q_stream_rolling(spark, d):
     sink, ckpt = work_path(spark, "rolling-out"), work_path(spark, "rolling-ckpt")
     ST.run_available(r.select("event_id", "temp_rolling_48h"), sink, ckpt)
     return spark.read.parquet(sink).select("event_id", rnd("temp_rolling_48h").alias("temp_rolling_48h"))
+
+
+@query("stream_ledger", f"""WITH {OBS_SQL} SELECT event_id, station_id, ROUND(temperature, 6) AS temperature FROM obs""")
+def q_stream_ledger(spark, d):
+    """S14 + S16 + T-S4: messages written in batches of one file, each batch once; the batches in the ledger, read back."""
+    folder, sink, ledger, ckpt = (work_path(spark, f"ledger-{x}") for x in ("in", "out", "log", "ckpt"))
+    ST.write_messages(ST.to_messages(observations(spark, d), "event_id"), folder)
+    stream = ST.decode_messages(ST.read_stream(spark, folder, max_per_trigger=1), MESSAGE_SCHEMA)
+    ST.run_with_ledger(stream.select("event_id", "station_id", "temperature"), sink, ledger, ckpt)
+    back = ST.read_committed(spark, sink, ledger)
+    return back.select("event_id", "station_id", rnd("temperature").alias("temperature"))

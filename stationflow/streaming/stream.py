@@ -164,6 +164,42 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, fmt: str = "par
     return q
 
 
+def run_with_ledger(stream: DataFrame, sink: str, ledger: str, checkpoint: str, after_write=None):
+    """Writes every micro-batch once, whatever is replayed (S14, S16, T-S4).
+
+    A batch goes to a folder of its own number, then its line (batch id, rows,
+    time of writing) to the ledger. A query that stopped between the two, or
+    before Spark recorded the batch, gets the same rows again and replaces that
+    folder; a batch with a line in the ledger is not written again.
+    :func:`read_committed` reads the batches in the ledger only. ``after_write``
+    is called between both steps (tests stop there)."""
+    spark = stream.sparkSession
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if _exists(spark, f"{ledger}/batch_id={batch_id}/_SUCCESS"):
+            return
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        if after_write:
+            after_write(batch_id)
+        n = spark.read.parquet(f"{sink}/batch_id={batch_id}").groupBy().agg(F.count(F.lit(1)).alias("n_rows"))
+        n.select("n_rows", F.current_timestamp().alias("written")).write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+
+    q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_committed(spark: SparkSession, sink: str, ledger: str) -> DataFrame:
+    """The rows of the batches that the ledger holds, with their batch_id."""
+    done = spark.read.parquet(ledger).select("batch_id")
+    return spark.read.parquet(sink).join(F.broadcast(done), "batch_id", "left_semi")
+
+
 def console_sink(stream: DataFrame):
     """Console sink (append), for interactive use."""
     return stream.writeStream.format("console").outputMode("append").start()
