@@ -132,33 +132,68 @@ def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.select(*([F.col(f"`{key}`")] if key else []), _mapped(layout, lambda p: F.col(f"`{p}`")).alias("turns"))
 
 
-def _prefixed(path: str):
-    return lambda k: F.concat(F.lit(f"{path}[]."), k)
+# Records: single fields as above, or an array of turns with a system text beside it or not.
+_FIELDS = {x.paths: x for x in LAYOUTS if x.fields}
+_ARRAYS = {"messages": (("role", "content"), ("role", "text")), "conversations": (("from", "value"),)}
+_SINGLE = sorted({p for paths in _FIELDS for p in paths} | {"system"})
+_JSON = ", ".join([f"{a} array<string>" for a in _ARRAYS] + [f"{f} string" for f in _SINGLE])
 
 
-_JSON = ("messages array<struct<role:string,content:string,text:string>>, conversations array<struct<`from`:string,value:string>>, "
-         "system string, prompt string, completion string, response string, instruction string, input string, output string, question string, answer string")
+def _print(names: Column, known) -> Column:
+    """Fingerprint of those names that are known."""
+    mine = F.array_intersect(F.coalesce(names, F.array().cast("array<string>")), F.array(*[F.lit(k) for k in sorted(known)]))
+    return F.sha2(F.array_join(F.array_sort(F.array_distinct(mine)), "\n"), 256)
+
+
+def _content(element: Column, field: str) -> Column:
+    """The text of a field; of a list of content parts, the texts of all parts."""
+    whole = F.get_json_object(element, f"$.{field}")
+    parts = F.from_json(whole, "array<struct<text:string>>")
+    return F.when(F.get_json_object(element, f"$.{field}[0]").isNull(), whole).otherwise(
+        F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+
+
+def _element(element: Column, maps) -> Column:
+    """One turn, by the mapping that the fingerprint of the element's own fields
+    selects; with the text fields of several mappings the first is taken."""
+    every = {f for m in maps for f in m}
+    own = _print(F.json_object_keys(element), every)
+    role, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for m in reversed(maps):
+        mine = (own == fingerprint(m)) | ((own == fingerprint(every)) if m == maps[0] else F.lit(False)) | (own == fingerprint(m[:1]))
+        role = F.when(mine, F.get_json_object(element, f"$.{m[0]}")).otherwise(role)
+        text = F.when(mine, _content(element, m[1])).otherwise(text)
+    return _turn(role, text)
+
+
+def _turn_of(maps):
+    return lambda e: _element(e, maps)
 
 
 def record_turns(df: DataFrame, column: str, key: str) -> DataFrame:
-    """``key``, layout and turns of one JSON record in every row: the fingerprint
-    is of that record's own paths (fields, and the fields of the first element of
-    its arrays), so rows of one table may differ. Records of no known layout, and
-    null or broken ones, have a null layout and no turns."""
+    """``key``, layout and turns of one JSON record in every row.
+
+    The fingerprint of the record's own fields selects its layout, and that of each
+    element's fields the mapping of that element, so rows of a table, and turns of
+    a record, may differ; fields that no layout knows don't matter. A system text
+    beside an array of turns becomes the first turn, if it is not empty. A list of
+    content parts is the texts of its parts. Elements that are no objects are no
+    turns; a turn without a text is empty. Records of no known layout, and null
+    or broken ones, have a null layout and no turns. Repeated rows are mapped
+    each on its own, and an empty table gives an empty result."""
     text = F.col(f"`{column}`").cast("string")
-    arrays = [F.when(F.get_json_object(text, f"$.{a}[0]").isNotNull(), F.transform(
-        F.json_object_keys(F.get_json_object(text, f"$.{a}[0]")), _prefixed(a))) for a in ("messages", "conversations")]
-    none = F.array().cast("array<string>")
-    paths = F.concat(F.coalesce(F.json_object_keys(text), none), *[F.coalesce(a, none) for a in arrays])
-    known = F.array_sort(F.array_distinct(F.array_intersect(paths, F.array(*[F.lit(p) for p in sorted(KNOWN)]))))
-    rows = df.select(F.col(f"`{key}`").alias(key), F.sha2(F.array_join(known, "\n"), 256).alias("print"), F.from_json(text, _JSON).alias("r"))
+    known = [*_ARRAYS, *_SINGLE]
+    rows = df.select(F.col(f"`{key}`").alias(key), _print(F.json_object_keys(text), known).alias("print"), F.from_json(text, _JSON).alias("r"))
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    for layout in LAYOUTS:
-        if layout.rows:
-            continue
-        mine = F.col("print") == fingerprint(layout.paths)
-        name = F.when(mine, F.lit(layout.name)).otherwise(name)
-        turns = F.when(mine, _mapped(layout, lambda p: F.col("r")[p])).otherwise(turns)
+    system = F.coalesce(F.col("r.system"), F.lit(""))
+    first = F.when(system == "", F.array().cast(TURNS)).otherwise(F.array(_turn(F.lit("system"), system)))
+    found = [(x.name, (fingerprint(x.paths),), _mapped(x, lambda p: F.col("r")[p])) for x in _FIELDS.values()]
+    for array, maps in _ARRAYS.items():
+        items = F.filter(F.coalesce(F.col("r")[array], F.array().cast("array<string>")), lambda e: F.json_object_keys(e).isNotNull())
+        found.append((array, (fingerprint([array]), fingerprint([array, "system"])), F.concat(first, F.transform(items, _turn_of(maps)))))
+    for label, prints, made in found:
+        mine = F.col("print").isin(*prints)
+        name, turns = F.when(mine, F.lit(label)).otherwise(name), F.when(mine, made).otherwise(turns)
     return rows.select(key, name.alias("layout"), turns.alias("turns"))
 
 
