@@ -11,10 +11,15 @@ whole-stage codegen, with no join. The parameter row can be persisted with
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stationflow.operators.features import one_chunk
+from stationflow.operators.joins import keyed_join
+from stationflow.operators.thresholds import MAP_ROWS, exact_quantiles
+
 NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint")
 # Calendar parts kept but never scaled.
 CALENDAR_PARTS = ("year", "month", "day", "hour", "minute")
@@ -51,8 +56,12 @@ def strategic_features(df: DataFrame, raw: list[str], max_lag: int = 6) -> list[
     return out
 
 
-def fit_impute(train: DataFrame, cols: list[str], strategy: str = "median") -> DataFrame:
-    """One-row table ``median_{c}`` (exact) or ``mean_{c}`` per column."""
+def fit_impute(train: DataFrame, cols: list[str], strategy: str = "median", map_rows: int = MAP_ROWS) -> DataFrame:
+    """One-row table ``median_{c}`` (exact) or ``mean_{c}`` per column. Beyond
+    ``map_rows`` planned rows medians come from counts in ranges, without value maps."""
+    if strategy == "median" and cols and not one_chunk(train, map_rows):
+        rows = [exact_quantiles(train, [], c, {f"median_{c}": 0.5}) for c in cols]
+        return reduce(lambda a, b: keyed_join(a, b, []), rows)
     if strategy == "median":
         return train.agg(*[F.percentile(c, 0.5).alias(f"median_{c}") for c in cols])
     return train.agg(*[F.avg(c).alias(f"mean_{c}") for c in cols])

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationflow.operators.gram import correlation, cross_products
+from stationflow.operators.joins import keyed_join
+from stationflow.operators.thresholds import MAP_ROWS, with_quantiles
 from stationflow.spec import SeriesSpec
 
 
@@ -41,20 +43,16 @@ def null_profile(df: DataFrame, only_missing: bool = True) -> DataFrame:
     return long.where(F.col("n_null") > 0) if only_missing else long
 
 
-def summary(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+def summary(df: DataFrame, cols: list[str], by: list[str] | None = None, map_rows: int = MAP_ROWS) -> DataFrame:
     """Count, mean, median, sample std, min, max, p25, p75 per
     column (long form), optionally per group."""
     by = by or []
-    aggs = []
+    wide = None
     for c in cols:
-        aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
-                 F.stddev_samp(c).alias(f"{c}__std"),
-                 F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max"),
-                 # median, p25, p75 from one value→count map per column
-                 F.percentile(c, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias(f"{c}__q")]
-    wide = df.groupBy(*by).agg(*aggs)
-    wide = wide.select("*", *[F.col(f"{c}__q")[i].alias(f"{c}__{k}") for c in cols
-                              for i, k in enumerate(["median", "p25", "p75"])])
+        aggs = [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
+                F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
+        one = with_quantiles(df, by, c, {f"{c}__median": 0.5, f"{c}__p25": 0.25, f"{c}__p75": 0.75}, aggs, True, map_rows)
+        wide = one if wide is None else keyed_join(wide, one, by)
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
                         F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__median").alias("median"),
                         F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"),

@@ -4,10 +4,11 @@ The reference loops over stations with a filter per station (F05); here a
 station is a group key.
 
 Every statistic is one ``groupBy(station).agg`` with map-side partial
-aggregation, so a hot station never lands whole in one task: exact
-``percentile`` keeps a value→count map per group (bounded by the number of
-distinct readings, 0.1 °C resolution in practice); ``exact=False`` switches to
-``percentile_approx`` for unbounded-resolution doubles.
+aggregation, so a hot station never lands whole in one task. Exact quantiles
+take ``percentile``, which keeps a value→count map per group, only for tables
+that Spark plans with fewer than ``MAP_ROWS`` rows, where no map can be large;
+beyond that they come from counts per value in ranges (:func:`exact_quantiles`),
+without any map. ``exact=False`` switches to ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stationflow.operators.features import one_chunk
 from stationflow.operators.joins import keyed_join
 
+# A table planned with fewer rows may keep value maps for exact quantiles.
+MAP_ROWS = 1 << 22
 # Quantile names and levels of the threshold table.
 THRESHOLD_QS = {"p99": 0.99, "p95": 0.95, "p90": 0.90, "p10": 0.10, "p05": 0.05, "p01": 0.01}
 
@@ -28,20 +32,28 @@ def _pcts(col: str, qs: list[float], exact: bool) -> Column:
     return F.percentile(col, arr) if exact else F.percentile_approx(col, arr, 10000)
 
 
+def with_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], aggs: list[Column], exact: bool = True,
+                   map_rows: int = MAP_ROWS) -> DataFrame:
+    """``by``, the named quantiles of ``value`` and the aggregates ``aggs``."""
+    if not exact or one_chunk(df, map_rows):
+        g = df.groupBy(*by).agg(_pcts(value, list(qs.values()), exact).alias("_q"), *aggs)
+        return g.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(qs)], *g.columns[len(by) + 1:])
+    g = df.groupBy(*by).agg(*aggs)
+    j = keyed_join(g, exact_quantiles(df, by, value, qs), by)
+    return j.select(*by, *qs, *g.columns[len(by):])
+
+
 def thresholds(train: DataFrame, station: str = "station_id", value: str = "temperature",
                qs: dict[str, float] | None = None, exact: bool = True,
-               prefix: str = "temp") -> DataFrame:
+               prefix: str = "temp", map_rows: int = MAP_ROWS) -> DataFrame:
     """p99,p95,p90,p10,p05,p01, mean, sample std, min, max per station.
 
     Fit on the training rows only (the caller passes the train split).
     """
-    qs = qs or THRESHOLD_QS
-    g = train.groupBy(station).agg(
-        _pcts(value, list(qs.values()), exact).alias("_q"),
-        F.avg(value).alias(f"{prefix}_mean"), F.stddev_samp(value).alias(f"{prefix}_std"),
-        F.min(value).alias(f"{prefix}_min"), F.max(value).alias(f"{prefix}_max"))
-    return g.select(station, *[F.col("_q")[i].alias(f"{prefix}_{name}") for i, name in enumerate(qs)],
-                    f"{prefix}_mean", f"{prefix}_std", f"{prefix}_min", f"{prefix}_max")
+    named = {f"{prefix}_{k}": q for k, q in (qs or THRESHOLD_QS).items()}
+    return with_quantiles(train, [station], value, named,
+                          [F.avg(value).alias(f"{prefix}_mean"), F.stddev_samp(value).alias(f"{prefix}_std"),
+                           F.min(value).alias(f"{prefix}_min"), F.max(value).alias(f"{prefix}_max")], exact, map_rows)
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
@@ -126,21 +138,17 @@ PROFILE_SHARES = ("hot_35", "hot_40", "cold_0", "cold_minus10")
 
 
 def station_profile(df: DataFrame, station: str = "station_id", time: str = "datetime",
-                    value: str = "temperature") -> DataFrame:
+                    value: str = "temperature", map_rows: int = MAP_ROWS) -> DataFrame:
     """Samples, min/max/mean/std, p01/p05/p95/p99, daily amplitude, shares."""
     n = F.count(F.lit(1))
     shares = [(F.count_if(_pred(value, *EXCEEDANCE_TEMPERATURE[k])) * 100.0 / n).alias(f"{k}_pct")
               for k in PROFILE_SHARES]
-    base = df.groupBy(station).agg(
-        n.alias("samples"),
-        F.min(value).alias("temp_min"), F.max(value).alias("temp_max"),
-        F.avg(value).alias("temp_mean"), F.stddev_samp(value).alias("temp_std"),
-        _pcts(value, [0.01, 0.05, 0.95, 0.99], True).alias("_q"), *shares)
-    base = base.select(station, "samples", "temp_min", "temp_max", "temp_mean", "temp_std",
-                       *[F.col("_q")[i].alias(k) for i, k in enumerate(["temp_p01", "temp_p05", "temp_p95",
-                                                                        "temp_p99"])],
-                       *[f"{k}_pct" for k in PROFILE_SHARES])
-    return base.join(daily_amplitude(df, station, time, value), station, "left")
+    qs = {"temp_p01": 0.01, "temp_p05": 0.05, "temp_p95": 0.95, "temp_p99": 0.99}
+    base = with_quantiles(df, [station], value, qs, [
+        n.alias("samples"), F.min(value).alias("temp_min"), F.max(value).alias("temp_max"),
+        F.avg(value).alias("temp_mean"), F.stddev_samp(value).alias("temp_std"), *shares], True, map_rows)
+    base = base.select(station, "samples", "temp_min", "temp_max", "temp_mean", "temp_std", *qs, *[f"{k}_pct" for k in PROFILE_SHARES])
+    return keyed_join(base, daily_amplitude(df, station, time, value), [station])
 
 
 # Station flag rules (profile column, strict lower bound, flag text).

@@ -26,8 +26,8 @@ from stationflow.operators import thresholds as TH
 from stationflow.operators import topk as TK
 from stationflow.plans.feature_queries import GAPS_SQL, HOLES_SQL, RH_SQL, W_SQL, _nulls_first, with_gaps, with_holes
 from stationflow.plans.metric_queries import REG_SQL, SCORED_SQL, reg_scored, scored
-from stationflow.plans.obs_queries import EV_TRAIN_END, EV_VAL_END, SPLIT_SQL, obs_split
-from stationflow.plans.registry import query, rnd, round_doubles
+from stationflow.plans.obs_queries import EV_TRAIN_END, EV_VAL_END, SPLIT_SQL, obs_split, train_rows
+from stationflow.plans.registry import ORACLE, SHIFT, query, rnd, round_doubles
 from stationflow.plans.rule_queries import TOP_SQL, inferred, rolled
 from stationflow.session import work_path
 from stationflow.sources import files as FL
@@ -141,6 +141,38 @@ def q_persistence_lag1(spark, d):
     return FC.persistence(train, test, OBS_SPEC, "temperature", "lag1").select("event_id", rnd("y_hat").alias("y_hat"))
 
 
+# ------------------------------------------- exact quantiles without value maps
+def _sql_of(name: str) -> str:
+    """The oracle of another query, before its roundings were shifted."""
+    return ORACLE[name].replace(f"ROUND({SHIFT} + ", "ROUND(")
+
+
+@query("station_thresholds_ranges", _sql_of("station_thresholds"))
+def q_station_thresholds_ranges(spark, d):
+    """A11 as for tables too large for value maps: counts per value in ranges."""
+    return round_doubles(TH.thresholds(train_rows(spark, d), map_rows=0))
+
+
+@query("station_profile_ranges", _sql_of("station_profile"))
+def q_station_profile_ranges(spark, d):
+    """A12 without value maps."""
+    return round_doubles(TH.station_profile(observations(spark, d), map_rows=0))
+
+
+@query("numeric_summary_ranges", _sql_of("numeric_summary"))
+def q_numeric_summary_ranges(spark, d):
+    """A04 without value maps."""
+    return round_doubles(Q.summary(observations(spark, d), ["temperature", "dewpoint"], map_rows=0))
+
+
+@query("impute_ranges", _sql_of("impute_fit_apply"))
+def q_impute_ranges(spark, d):
+    """A19 + P14 with medians found without value maps."""
+    g, cols = with_gaps(spark, d), ["temperature", "dewpoint"]
+    med = P.fit_impute(g.where(S.split_predicate("datetime", "train", EV_TRAIN_END, EV_VAL_END)), cols, map_rows=0)
+    return round_doubles(P.apply_impute(g, med, cols).select("event_id", "split", *cols))
+
+
 # ----------------------------------------------------------- cross-products
 CORR_COLS = ["temperature", "dewpoint", "temperature_lag_1h", "temperature_ma_3h", "temperature_ma_6h", "dewpoint_ma_3h", "dewpoint_ma_6h"]
 
