@@ -144,8 +144,15 @@ def cumulative(g: DataFrame, by: list[str], order: str, cols: list[str], descend
     width = width or (GROUP_WIDTH if by else SCORE_WIDTH)
     o = F.col(order)
     cut = _cuts(g, by, order, width)
-    cut = cut.withColumnRenamed("_heads", "_h") if by else cut.select(F.struct("_tails", F.col("_heads").alias("_h")).alias("_one"))
-    d = keyed_join(g, cut, by, "inner") if by else g.withColumn("_one", cut.scalar()).select("*", "_one.*")
+    cut = cut.withColumnRenamed("_heads", "_h")
+    if by:
+        d = keyed_join(g, cut, by, "inner")
+    else:
+        # one row of splitters, joined on a key that is 0 for every row: in the
+        # same plan (not a subquery), so that the exchange below is reused
+        zero = lambda c: F.pmod(F.xxhash64(c), F.lit(1))
+        cut = F.broadcast(cut.withColumn("_z", zero("_tails")))
+        d = g.withColumn("_y", zero(o)).join(cut, F.col("_y") == F.col("_z"))
     head = F.size(F.filter("_h", lambda x: x < o))
     tail = F.size(F.filter(F.get("_tails", F.greatest(head - 1, F.lit(0))), lambda x: x < o))
     no = F.when(head == 0, 0).otherwise((head - 1) * width + tail)
