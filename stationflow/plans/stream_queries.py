@@ -15,6 +15,7 @@ from stationflow.plans.registry import query, rnd
 from stationflow.plans.rule_queries import EVENT_SQL, LEVEL_SQL, RULE_SQL
 from stationflow.session import work_path
 from stationflow.sources.tables import OBS_SQL, observations
+from stationflow.streaming import event_time as ET
 from stationflow.streaming import stream as ST
 
 MESSAGE_SCHEMA = T.StructType([
@@ -120,3 +121,32 @@ def q_stream_ledger(spark, d):
     ST.run_with_ledger(stream.select("event_id", "station_id", "temperature"), sink, ledger, ckpt)
     back = ST.read_committed(spark, sink, ledger)
     return back.select("event_id", "station_id", rnd("temperature").alias("temperature"))
+
+
+SECOND_SQL = "COALESCE(climate_zone = 'error', FALSE)"
+
+
+@query("stream_event_time", f"""WITH {OBS_SQL},
+b AS (SELECT station_id, max(datetime) AS released FROM obs
+      WHERE NOT {SECOND_SQL} AND datetime <= (SELECT date_trunc('millisecond', max(datetime)) - INTERVAL 1 DAY FROM obs WHERE NOT {SECOND_SQL})
+      GROUP BY station_id),
+s AS (SELECT o.*, datetime IS NULL OR ({SECOND_SQL} AND COALESCE(datetime <= released, FALSE)) AS late
+      FROM obs o LEFT JOIN b ON o.station_id IS NOT DISTINCT FROM b.station_id),
+r AS (SELECT *, CASE WHEN COUNT(temperature) OVER w >= 24 THEN avg(temperature) OVER w END AS temp_rolling_48h FROM s
+      WHERE NOT late AND datetime <= (SELECT date_trunc('millisecond', max(datetime)) - INTERVAL 1 DAY FROM obs)
+      WINDOW w AS (PARTITION BY station_id ORDER BY datetime, event_id ROWS BETWEEN 47 PRECEDING AND CURRENT ROW))
+SELECT event_id, late, ROUND(temp_rolling_48h, 6) AS temp_rolling_48h FROM r
+UNION ALL SELECT event_id, late, CAST(NULL AS DOUBLE) FROM s WHERE late""")
+def q_stream_event_time(spark, d):
+    """T-S8 by event time: the messages of the zone ``error`` arrive after all others. Rows of a day wait for the
+    watermark and come out in time order; late rows go to a folder of their own."""
+    folder, sink, side, ckpt = (work_path(spark, f"event-time-{x}") for x in ("in", "out", "late", "ckpt"))
+    o = observations(spark, d)
+    second = F.coalesce(F.col("climate_zone") == "error", F.lit(False))
+    for arrival in (~second, second):
+        ST.write_messages(ST.to_messages(o.where(arrival), "event_id"), folder)
+        stream = ST.decode_messages(ST.read_stream(spark, folder), MESSAGE_SCHEMA)
+        rows = stream.select("station_id", "datetime", "event_id", "temperature")
+        ET.run_split(ET.rolling_event_time(rows, "station_id", "datetime", ("event_id",), "temperature", "1 day"), "late", sink, side, ckpt)
+    released, late = (spark.read.parquet(p).withColumn("late", F.lit(flag)) for p, flag in ((sink, False), (side, True)))
+    return released.unionByName(late).select("event_id", "late", rnd("temp_rolling_48h").alias("temp_rolling_48h"))
