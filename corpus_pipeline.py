@@ -15,7 +15,7 @@ from stationflow.llm import decontaminate, jaccard, mixing, pii, quality  # noqa
 from stationflow.session import work_path  # noqa: E402
 from stationflow.sources.tables import read_table  # noqa: E402
 
-ORACLE_SQL = None  # a fitted classifier and a fitted field aren't SQL; tests compare the stages of near duplicates and decontamination alone, not run()
+ORACLE_SQL = None  # a fitted classifier and a fitted field aren't SQL; tests compare the stages with plain versions in order, and run() with them
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
