@@ -2,14 +2,17 @@
 
 A multinomial logistic regression (L1) over word uni- and bigrams is fitted on
 the names and identifiers of each licence family in every form of declaration, on
-whole notices, on made-up near misses and on a bounded sample of corpus paragraphs
-that hold no licence term and share no three words with a notice; what may be a
-declaration is never a negative. How common a word is, is counted over all
-paragraphs, and licence terms always count as rare. Its few weights become literals
+whole notices, on made-up near misses and on all corpus paragraphs that hold no
+licence term and share no three words with a notice; what may be a declaration is
+never a negative. These paragraphs are counted by the n-grams of the vocabulary that
+they hold, so the fit reads one weighted row per such set; together they weigh at
+most as much as ``CORPUS_PARAGRAPHS`` paragraphs, so that a large corpus doesn't
+outweigh the statements. How common a word is, is counted over all paragraphs, and
+licence terms always count as rare. Its few weights become literals
 of a column expression. Cue words are chosen so that a paragraph without one can't
 reach a family's score, and such paragraphs are passed by one pattern over the same
 folded words. The score of the unknown class is raised until at most ``MISS_RATE``
-of other labelled near misses and ``FALSE_RATE`` of the sampled paragraphs without
+of other labelled near misses and ``FALSE_RATE`` of all paragraphs without
 licence terms pass for a licence, and a prediction is confirmed where the paragraph
 holds at least half of the n-grams of one of the family's templates. Where a
 paragraph also names other families in full, and each scores over the unknown
@@ -18,6 +21,7 @@ class, it declares those too (dual licences).
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression
@@ -25,11 +29,11 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm.sample import sample_ids, texts_of
 from stationflow.session import materialize
 
 UNKNOWN = "unknown"
-SAMPLE_PARAGRAPHS = 2000
+CORPUS_PARAGRAPHS = 2000  # so many paragraphs' weight is shared by those of the whole corpus
+SETS_PER_TASK = 50_000  # n-gram sets in a task of the fit
 FALSE_RATE = 0.001
 MISS_RATE = 0.05
 CONFIRM = 0.5
@@ -136,6 +140,11 @@ def _ngrams(words: Column, k: int) -> Column:
     return _let(words, cut)
 
 
+def _among(grams: Column, some: list[str]) -> Column:
+    """Those of ``grams`` that are in ``some``, each once, in the order of ``grams``."""
+    return F.array_distinct(F.filter(grams, lambda g: g.isin(some)))
+
+
 def _bigrams(words: Column) -> Column:
     return _ngrams(words, 2)
 
@@ -189,21 +198,22 @@ class Model:
         cues = "|".join(sorted(re.escape(c).replace("0", r"\p{N}+").replace("license", "licen[cs]e") for c in self.cues))
         return r"(?<![\p{L}\p{N}+])(?:" + cues + r")(?![\p{L}\p{N}+])"
 
+    def totals(self):
+        """The scores, in the order of the families, as a function of the n-grams held."""
+        table = F.create_map(*[x for g, w in sorted(self.weights.items()) for x in (F.lit(g), F.array(*[F.lit(float(v)) for v in w]))])
+        start = F.array(*[F.lit(float(x)) for x in self.intercepts])
+        return lambda held: F.aggregate(held, start, lambda a, g: F.zip_with(a, F.element_at(table, g), lambda u, v: u + v))
+
     def scored(self, rows: Column) -> Column:
         """Of an array of structs (place, p) with paragraphs p an array of structs
         (place, grams, scores), scores in the order of the families. Every step is
         one transform, so nothing is computed twice."""
         vocabulary = F.array(*[F.lit(g) for g in sorted(self.weights)])
-        table = F.create_map(*[x for g, w in sorted(self.weights.items()) for x in (F.lit(g), F.array(*[F.lit(float(v)) for v in w]))])
-        start = F.array(*[F.lit(float(x)) for x in self.intercepts])
+        total = self.totals()
         rows = F.transform(rows, lambda x: F.struct(x["place"].alias("place"), _words(x["p"]).alias("words")))
         rows = F.transform(rows, lambda x: F.struct(x["place"].alias("place"), F.concat(x["words"], _bigrams(x["words"])).alias("grams")))
         rows = F.transform(rows, lambda x: F.struct(x["place"].alias("place"), x["grams"].alias("grams"), F.array_intersect(x["grams"], vocabulary).alias("held")))
-
-        def total(x):
-            return F.aggregate(x["held"], start, lambda a, g: F.zip_with(a, F.element_at(table, g), lambda u, v: u + v))
-
-        return F.transform(rows, lambda x: F.struct(x["place"].alias("place"), x["grams"].alias("grams"), total(x).alias("scores")))
+        return F.transform(rows, lambda x: F.struct(x["place"].alias("place"), x["grams"].alias("grams"), total(x["held"]).alias("scores")))
 
     def predicted(self, rows: Column) -> Column:
         """(place, family, probability, confirmed) of the paragraphs in ``rows``: the
@@ -235,48 +245,63 @@ class Model:
                         lambda k: found(x, k, 1 / (1 + F.exp(x["scores"][0] - F.element_at(x["scores"], k))), F.lit(True))))))
 
 
+def _every(docs: DataFrame, separator: str) -> DataFrame:
+    return docs.select(F.explode(paragraphs(F.col("text").cast("string"), separator)).alias("text"))
+
+
 def _holders(docs: DataFrame, separator: str, words: list[str]) -> dict[str, int]:
     """In how many paragraphs of all each of ``words`` is held; "" counts the paragraphs."""
-    every = docs.select(F.explode(paragraphs(F.col("text").cast("string"), separator)).alias("text"))
-    held = F.array_intersect(_words(F.col("text")), F.array(*[F.lit(w) for w in words]))
-    counts = every.select(F.explode(F.concat(F.array(F.lit("")), held)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    held = F.concat(F.array(F.lit("")), _among(_words(F.col("text")), words))
+    counts = _every(docs, separator).select(F.explode(held).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return {r["w"]: r["n"] for r in counts.collect()}
 
 
-def fit_licenses(docs: DataFrame, separator: str = r"\n+", sample: int = SAMPLE_PARAGRAPHS, false_rate: float = FALSE_RATE,
+def _negatives(docs: DataFrame, separator: str, vocabulary: list[str], triples: list[str]) -> DataFrame:
+    """grams (sorted n-grams of ``vocabulary``) and n: how many of all paragraphs
+    without a licence term or one of ``triples`` hold just these."""
+    pairs = sorted({" ".join(t.split()[i:i + 2]) for t in triples for i in (0, 1)})
+
+    def declares(w, b):
+        term = F.exists(F.concat(w, b), lambda g: g.isin(TERMS))
+        return term | (F.exists(b, lambda g: g.isin(pairs)) & F.exists(_trigrams(w), lambda g: g.isin(triples)))
+
+    def held(w):
+        return _let(_bigrams(w), lambda b: F.when(~declares(w, b), F.array_sort(_among(F.concat(w, b), vocabulary))))
+
+    sets = _every(docs, separator).select(_let(_words(F.col("text")), held).alias("grams")).groupBy("grams").agg(F.count("*").alias("n"))
+    # a null set counts what may declare a licence; dropped here, the sets are computed once
+    return materialize(sets.sortWithinPartitions("grams")).where("grams is not null")
+
+
+def fit_licenses(docs: DataFrame, separator: str = r"\n+", corpus: int = CORPUS_PARAGRAPHS, false_rate: float = FALSE_RATE,
                  miss_rate: float = MISS_RATE) -> Model:
-    """Fits on the statements, near misses and at most ``sample`` corpus paragraphs
-    without licence terms (of the rows with the smallest hashes of their ids);
-    word frequencies are those of all paragraphs."""
+    """Fits on the statements, near misses and all corpus paragraphs without licence
+    terms, which together weigh as much as ``corpus`` of them if they are more; word
+    frequencies and the false rate are those of all paragraphs."""
     spark = docs.sparkSession
     known = _table(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts])
     halves = known.union(known.where("length(text) > 90").select("family", F.expr("substring(text, 1, length(text) div 2)")))
     halves = halves.union(known.select("family", F.concat(F.lit("Copyright (c) 2021 the authors. "), F.col("text"))))
     halves = halves.union(_table(spark, DECLARATIONS))
     misses = _table(spark, [(UNKNOWN, t) for t in NEAR_MISSES])
-    triples = [r["g"] for r in known.select(F.explode(_trigrams(_words(F.col("text")))).alias("g")).distinct().collect()]
-    short = F.octet_length("text").between(1, 20000)
-    texts = texts_of(docs, sample_ids(docs, sample // 4, "licence", short)).where(short)
-    some = texts.select(F.explode(paragraphs(F.col("text"), separator)).alias("text"))
-    some = some.where(~F.arrays_overlap(_trigrams(_words(F.col("text"))), F.array(*[F.lit(t) for t in triples])))
-    some = some.where(~F.arrays_overlap(_grams(F.col("text")), F.array(*[F.lit(t) for t in TERMS]))).orderBy(F.xxhash64("text"), "text").limit(sample)
-    corpus = materialize(some.select(F.lit(UNKNOWN).alias("family"), "text"))
-    negatives = [(r["family"], r["text"]) for r in corpus.collect()]
+    triples = sorted(r["g"] for r in known.select(F.explode(_trigrams(_words(F.col("text")))).alias("g")).distinct().collect())
     families = [UNKNOWN, *TEMPLATES]  # every family has a notice
-    train = halves.union(misses)
-    if negatives:
-        train = train.union(corpus)
-    index = F.create_map(*[F.lit(x) for i, f in enumerate(families) for x in (f, float(i))])
-    train = train.select(F.element_at(index, F.col("family")).alias("label"), _grams(F.col("text")).alias("grams"),
-                         F.when(F.col("family") == UNKNOWN, 0.3).otherwise(1.0).alias("weight"))
     words = [r["g"] for r in halves.select(F.explode(_grams(F.col("text"))).alias("g")).distinct().orderBy("g").collect()]
     held = _holders(docs, separator, sorted({w for g in words for w in g.split()}))
     # common words are those that more than one in 200 paragraphs hold
     common = {w for w, n in held.items() if n > max(1, held.get("", 0) // 200)} - {"", *TERMS}
     # n-grams all of whose words are common in the corpus say nothing here
     vocabulary = [g for g in words if not all(w in common or len(w) < 2 for w in g.split())]
+    negatives = _negatives(docs, separator, vocabulary, triples)
+    size = negatives.agg(F.count("*").alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    index = F.create_map(*[F.lit(x) for i, f in enumerate(families) for x in (f, float(i))])
+    train = halves.union(misses).select(F.element_at(index, F.col("family")).alias("label"), _grams(F.col("text")).alias("grams"),
+                                        F.when(F.col("family") == UNKNOWN, 0.3).otherwise(1.0).alias("weight"))
+    if size["n"]:
+        train = train.union(negatives.select(F.lit(0.0), "grams", F.col("n") * F.lit(0.3 * min(1.0, corpus / size["n"]))))
+    train = train.coalesce(size["sets"] // SETS_PER_TASK + 1)
     vector = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
-    fitted = LogisticRegression(maxIter=25, regParam=2e-4, elasticNetParam=0.5, family="multinomial", weightCol="weight", standardization=False).fit(vector.transform(materialize(train.coalesce(1))))
+    fitted = LogisticRegression(maxIter=25, regParam=2e-4, elasticNetParam=0.5, family="multinomial", weightCol="weight", standardization=False).fit(vector.transform(materialize(train)))
     matrix, bias = fitted.coefficientMatrix.toArray(), list(fitted.interceptVector.toArray())
     while len(bias) < len(families):
         bias.append(-30.0)
@@ -294,15 +319,17 @@ def fit_licenses(docs: DataFrame, separator: str = r"\n+", sample: int = SAMPLE_
     model = Model(families, weights, bias, {f: [t for _, t in some if " " in t[0]] for f, some in templates.items()}, names)
 
     def lead(rows: DataFrame, rate: float) -> float:
-        """By how much the families lead over the unknown class in all but ``rate`` of the rows."""
-        rows = rows.select(model.scored(F.array(F.struct(F.lit(0).alias("place"), F.col("text").alias("p"))))[0]["scores"].alias("s"))
-        rows = rows.select((F.array_max(F.slice("s", 2, len(families) - 1)) - F.col("s")[0]).alias("lead"))
-        return rows.agg(F.percentile("lead", F.lit(1 - rate)).alias("q")).first()["q"] or 0.0
+        """By how much the families lead over the unknown class in all but ``rate`` of
+        the ``n`` paragraphs with ``grams``, rounded up to four digits as the weights are."""
+        rows = rows.select("n", _let(model.totals()(_among(F.col("grams"), sorted(weights))),
+                                     lambda s: F.array_max(F.slice(s, 2, len(families) - 1)) - s[0]).alias("lead"))
+        rows = rows.select("n", (F.ceil(F.col("lead") * 10_000) / 10_000).alias("lead"))
+        return math.ceil((rows.agg(F.percentile("lead", F.lit(1 - rate), F.col("n")).alias("q")).first()["q"] or 0.0) * 10_000) / 10_000
 
     # calibrate the unknown class
-    bars = [lead(_table(spark, [(UNKNOWN, t) for t in HELD_MISSES]), miss_rate)]
-    if negatives:
-        bars.append(lead(corpus, false_rate))
+    bars = [lead(_table(spark, [(UNKNOWN, t) for t in HELD_MISSES]).select(F.lit(1).alias("n"), _grams(F.col("text")).alias("grams")), miss_rate)]
+    if size["n"]:
+        bars.append(lead(negatives, false_rate))
     model.intercepts[0] += max(0.0, *bars)
     model.choose_cues(held)
     return model
