@@ -12,7 +12,8 @@ every ROWS-frame feature is evaluated over *chunks of whole time buckets*:
    bucket's chunk is that number divided by ``chunk_rows``.
 2. Only stations of more than one chunk need a table: for each chunk its first
    bucket and the bucket from which ``halo`` rows before it are sure to be. It
-   holds at most 2 N / ``chunk_rows`` chunks for N rows, and is broadcast.
+   holds at most 2 N / ``chunk_rows`` chunks for N rows, and is broadcast. A row
+   finds its chunk by halving, in generated code, so it never copies the table.
 3. Every row names its chunk, and the chunks it is halo of, before it moves: one
    exchange by (station, chunk), one sort, one window. Halo rows are dropped.
 
@@ -42,8 +43,8 @@ INDEX_BUCKET = "hour"
 # A row is planned with at least so many bytes; below CHUNK_ROWS such rows a
 # table is one chunk.
 ROW_BYTES = 16
-# Chunks of one station that are searched together for a row's chunk.
-CHUNK_GROUP = 256
+# Halvings of a search: 2 ** 27 chunks of one station are more than Spark broadcasts.
+SEARCH_STEPS = 27
 
 # Default lag and rolling parameters (rows).
 DEFAULT_LAGS = (1, 3, 6, 12, 24, 48, 168)
@@ -77,10 +78,10 @@ def _bucket_no(df: DataFrame, time: str, bucket: str) -> Column:
 
 
 def chunk_table(df: DataFrame, spec: SeriesSpec, halo: int, chunk_rows: int, bucket: str = INDEX_BUCKET) -> DataFrame:
-    """``_s`` and ``_chunks`` for stations of more than one chunk: groups of
-    (no, lo, first, stop, start): the chunk's number, the first bucket of its
-    halo, its own first bucket, that of the chunk after it (NULL for the last),
-    and how many rows come before it."""
+    """``_s`` and ``_chunks`` for stations of more than one chunk: one list of
+    (no, lo, first, start, after): the chunk's number, the
+    first bucket of its halo, its own first bucket, how many rows come before it,
+    and the chunks after it that have a halo in its buckets."""
     counts = (df.select(F.col(spec.station).alias("_s"), _bucket_no(df, spec.time, bucket).alias("_b"))
               .groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n")))
     upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_b"))
@@ -94,27 +95,43 @@ def chunk_table(df: DataFrame, spec: SeriesSpec, halo: int, chunk_rows: int, buc
     chunks = c.groupBy("_s", "no").agg(F.min("_b").alias("lo"), F.min(F.when(own, F.col("_b"))).alias("first"),
                                        F.min(F.when(own, F.col("_before"))).alias("start")).where(F.col("first").isNotNull())
     per = chunks.groupBy("_s").agg(F.array_sort(F.collect_list(F.struct("no", "lo", "first", "start"))).alias("_all")).where(F.size("_all") > 1)
-    whole = F.transform("_all", lambda x, i: F.struct(x["no"].alias("no"), x["lo"].alias("lo"), x["first"].alias("first"),
-                                                      F.get(F.col("_all"), i + 1)["first"].alias("stop"), x["start"].alias("start")))
-    per = per.select("_s", whole.alias("_all"))
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / CHUNK_GROUP).cast("int")),
-                         lambda g: F.slice("_all", g * CHUNK_GROUP + 1, CHUNK_GROUP))
-    return per.select("_s", groups.alias("_chunks"))
+    each = lambda x: [x[k].alias(k) for k in ("no", "lo", "first", "start")]
+    reach = -(-halo // chunk_rows) + 1  # a halo is in no more chunks before
+
+    def after(i):
+        later = F.transform(F.slice("_all", i + 2, F.lit(reach)), lambda y: F.struct(*each(y)))
+        return F.filter(later, lambda y: y["lo"] < F.get(F.col("_all"), i + 1)["first"])
+
+    whole = F.transform("_all", lambda x, i: F.struct(*each(x), after(i).alias("after")))
+    return per.select("_s", F.array(whole).alias("_chunks"))
+
+
+def _search(df: DataFrame, values: str, x: str, out: str) -> DataFrame:
+    """Adds ``out``: how many of the rising array ``values`` are not above ``x``. A
+    select per halving stays in generated code (short enough for Java to compile); a
+    higher-order function would copy the array for every row."""
+    d = df.select("*", F.lit(0).alias(out))
+    for step in [1 << k for k in reversed(range(SEARCH_STEPS))]:
+        more = F.get(F.col(values), F.col(out) + (step - 1)) <= F.col(x)
+        d = d.select(*df.columns, (F.col(out) + F.when(more, step).otherwise(0)).alias(out))
+    return d
 
 
 def dealt(df: DataFrame, spec: SeriesSpec, halo: int, chunk_rows: int, bucket: str = INDEX_BUCKET) -> DataFrame:
     """The rows with ``_k`` (station and chunk), ``_h`` (whether the row is halo
     there) and ``_start`` (rows of the station before the chunk); a row is there
     once for its chunk and once for each chunk it is halo of."""
-    table = chunk_table(df, spec, halo, chunk_rows, bucket)
+    table = chunk_table(df, spec, halo, chunk_rows, bucket).select("_s", F.col("_chunks")[0].alias("_all"))
+    table = table.select("*", F.transform("_all", lambda x: x["first"]).alias("_firsts"))
     b = _bucket_no(df, spec.time, bucket)
-    holds = lambda lo, stop: (lo <= F.col("_b")) & (stop.isNull() | (F.col("_b") < stop))
-    groups = F.filter("_chunks", lambda g: holds(g[0]["lo"], F.element_at(g, -1)["stop"]))
-    found = F.flatten(F.transform(groups, lambda g: F.filter(g, lambda x: holds(x["lo"], x["stop"]))))
-    zero = F.lit(0).cast("long")
-    only = F.array(F.struct(zero.alias("no"), F.col("_b").alias("lo"), F.col("_b").alias("first"), F.lit(None).cast("long").alias("stop"), zero.alias("start")))
     d = df.withColumn("_b", b).join(F.broadcast(table), F.col(spec.station).eqNullSafe(F.col("_s")), "left")
-    d = d.select(*df.columns, "_b", F.explode(F.when(F.col("_chunks").isNull(), only).otherwise(found)).alias("_c"))
+    d = _search(d.select(*df.columns, "_b", "_all", "_firsts"), "_firsts", "_b", "_i")
+    home = F.get(F.col("_all"), F.col("_i") - 1)
+    kinds = ("no", "lo", "first", "start")
+    zero = F.lit(0).cast("long")
+    only = F.array(F.struct(zero.alias("no"), F.col("_b").alias("lo"), F.col("_b").alias("first"), zero.alias("start")))
+    found = F.concat(F.array(F.struct(*[home[k].alias(k) for k in kinds])), home["after"])
+    d = d.select(*df.columns, "_b", F.explode(F.when(F.col("_all").isNull(), only).otherwise(found)).alias("_c")).where(F.col("_c.lo") <= F.col("_b"))
     return d.select(*df.columns, F.struct(F.col(spec.station).alias("s"), F.col("_c.no").alias("no")).alias("_k"),
                     (F.col("_b") < F.col("_c.first")).alias("_h"), F.col("_c.start").alias("_start"))
 
