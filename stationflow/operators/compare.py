@@ -56,12 +56,12 @@ def scenario_benchmark(train: DataFrame, test: DataFrame, scenarios: dict[str, l
     """(scenario = column subset) × (ridge, boosted trees) → test metrics."""
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
-    from stationflow.operators.forecast import assemble, fill_with_train_mean
+    from stationflow.operators.forecast import assemble, bounded_partitions, fill_with_train_mean
     from stationflow.operators.metrics import regression_metrics
 
     parts = []
     for name, feats in scenarios.items():
-        tr = assemble(train.dropna(subset=[*feats, y]), feats)
+        tr = assemble(bounded_partitions(train.select(*feats, y).dropna()), feats)
         te = assemble(fill_with_train_mean(train, test, feats), feats)
         ests = {"ridge": LinearRegression(featuresCol="features", labelCol=y, regParam=1.0, elasticNetParam=0.0),
                 "gbt": GBTRegressor(featuresCol="features", labelCol=y, maxIter=gbt_iter, maxDepth=4, seed=42)}

@@ -78,11 +78,26 @@ def fit_linear(train: DataFrame, features: list[str], y: str, solver: str = "nor
                             solver=solver).fit(d)
 
 
+# Rows of a boosting task: MLlib keeps each partition's rows as objects and reads
+# them once per tree level, some 100 bytes a row.
+GBT_TASK_ROWS = 1 << 20
+
+
+def bounded_partitions(df: DataFrame, task_rows: int | None = None) -> DataFrame:
+    """``df``, dealt anew where one of its partitions holds more than ``task_rows``
+    rows (``GBT_TASK_ROWS``); files that pack rows densely otherwise give tasks of any size. One count
+    per partition decides, and smaller tables stay as they are."""
+    task_rows = task_rows or GBT_TASK_ROWS
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    most, n = sizes.agg(F.max("n"), F.sum("n")).first()
+    return df if (most or 0) <= task_rows else df.repartition(-(-n // task_rows))
+
+
 def fit_gbt(train: DataFrame, features: list[str], y: str, max_iter: int = 20, max_depth: int = 5,
             step_size: float = 0.1, subsample: float = 0.8, feature_subset: str = "auto", seed: int = 42):
-    """Gradient-boosted trees (MLlib)."""
+    """Gradient-boosted trees (MLlib) on tasks of bounded rows."""
     from pyspark.ml.regression import GBTRegressor
-    d = assemble(train.dropna(subset=[*features, y]), features)
+    d = assemble(bounded_partitions(train.select(*features, y).dropna()), features)
     return GBTRegressor(featuresCol="features", labelCol=y, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step_size, subsamplingRate=subsample, featureSubsetStrategy=feature_subset,
                         seed=seed).fit(d)
