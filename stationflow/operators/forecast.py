@@ -7,6 +7,9 @@ MLlib estimators on a ``VectorAssembler`` column, so fitting is distributed
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +106,78 @@ def fit_gbt(train: DataFrame, features: list[str], y: str, max_iter: int = 20, m
                         seed=seed).fit(d)
 
 
+# Bins of a feature of boosted trees (MLlib's default). Up to COUNTED distinct values
+# are counted for them one by one, beyond that QUANTILES of all rows stand for them.
+GBT_BINS, COUNTED, QUANTILES = 32, 4096, 1024
+
+
+def split_points(values: list[tuple[float, float]], bins: int = GBT_BINS) -> list[float]:
+    """MLlib's thresholds of a feature with these (value, weight) pairs: all midpoints of
+    neighbours where they are fewer than ``bins``, else those closest to equal shares."""
+    values = sorted(values)
+    mids = [(a + b) / 2.0 for (a, _), (b, _) in zip(values, values[1:])]
+    if len(mids) < bins:
+        return mids
+    share = sum(w for _, w in values) / bins
+    out, seen, target = [], values[0][1], share
+    for mid, (_, w) in zip(mids, values[1:]):
+        before, seen = seen, seen + w
+        if abs(before - target) < abs(seen - target):
+            out.append(mid)
+            target += share
+    return out
+
+
+def feature_splits(rows: DataFrame, features: list[str], distinct: dict[str, int]) -> dict[str, list[float]]:
+    """The thresholds of each feature from all ``rows`` (MLlib alone takes them from a sample
+    of 10,000). ``distinct``: about how many values each has."""
+    few, many = [c for c in features if distinct[c] <= COUNTED], [c for c in features if distinct[c] > COUNTED]
+    values: dict = {c: [] for c in features}
+    if few:
+        pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in few])
+        for r in rows.select(F.explode(pairs).alias("p")).groupBy("p.c", "p.v").agg(F.count(F.lit(1)).alias("n")).collect():
+            values[r["c"]].append((r["v"], r["n"]))
+    if many:
+        grid = [i / QUANTILES for i in range(QUANTILES + 1)]
+        r = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), grid, 10000).alias(c) for c in many]).first()
+        values.update({c: list(Counter(r[c] or []).items()) for c in many})
+    return {c: split_points(v) for c, v in values.items()}
+
+
+def binned(df: DataFrame, features: list[str], splits: dict[str, list[float]], out: list[str]) -> DataFrame:
+    """``df`` with the bin of each feature as ``out``: 1 + the number of its thresholds below
+    the value. As in MLlib's trees a value at a threshold is below it, and NaN and NULL are above all."""
+    from pyspark.ml.feature import Bucketizer
+    inf = math.inf
+    # Bucketizer takes a value at a bound to the upper side, so bounds are the next larger numbers
+    bounds = [sorted({b for b in (math.nextafter(t, inf) for t in splits[c]) if b < inf} or {0.0}) for c in features]
+    d = Bucketizer(inputCols=features, outputCols=out, splitsArray=[[-inf, *b, inf] for b in bounds], handleInvalid="keep").transform(df)
+    # the sum sheds the column's metadata, by which trees would take the bins for categories
+    return d.select(*df.columns, *[(F.col(c) + 1.0).alias(c) for c in out])
+
+
+def fit_gbt_cells(rows: DataFrame, features: list[str], splits: dict[str, list[float]], y: str, max_iter: int = 20,
+                  max_depth: int = 5, seed: int = 42):
+    """M02 on complete ``rows``, all of them in every tree: boosted trees over the bins of
+    the features (:func:`binned`).
+
+    Rows with the same bins take the same way through every tree, and gains of squared
+    errors differ by sums of residuals alone, so a row for each combination of bins, with
+    its mean of ``y`` and its number of rows as weight, gives the trees that the rows
+    give. The combinations are at most the product of the bins (32,768 for three
+    features), and never more than the rows."""
+    from pyspark.ml.regression import GBTRegressor
+
+    from stationflow.session import materialize
+    bins = [f"_bin_{i}" for i in range(len(features))]
+    cells = materialize(binned(rows, features, splits, bins).groupBy(*bins).agg(F.avg(y).alias(y), F.count(F.lit(1)).cast("double").alias("_rows")))
+    n = cells.count()
+    cells = bounded_partitions(cells.coalesce(max(1, -(-n * 16 // GBT_TASK_ROWS))))
+    # the bins are the thresholds already; so many are allowed that MLlib looks for them in all cells
+    return GBTRegressor(featuresCol="features", labelCol=y, weightCol="_rows", maxIter=max_iter, maxDepth=max_depth, seed=seed,
+                        maxBins=max(GBT_BINS, math.isqrt(n) + 1)).fit(assemble(cells, bins))
+
+
 def predict(model, train: DataFrame, df: DataFrame, features: list[str]) -> DataFrame:
     d = assemble(fill_with_train_mean(train, df, features), features)
     return model.transform(d).withColumnRenamed("prediction", "y_hat").drop("features")

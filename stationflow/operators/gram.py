@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 4
+# Up to so many columns one plain aggregate may hold the sums of all pairs.
+PLAIN = 8
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
@@ -52,10 +54,20 @@ class Gram:
     """The cross-products of complete rows on the driver: one cell for each pair of
     columns, whatever the number of rows."""
 
-    def __init__(self, df: DataFrame, cols: list[str]):
+    def __init__(self, df: DataFrame, cols: list[str], plain: int = 0):
+        """Up to ``plain`` columns are summed without a record for each pair of blocks."""
         at = {c: i for i, c in enumerate(cols)}
         self.at, k = at, len(cols)
         self.n, self.sums, self.products = 0.0, np.zeros(k), np.zeros((k, k))
+        if k <= plain:
+            x = [F.col(c).cast("double") for c in cols]
+            pairs = [(i, j) for i in range(k) for j in range(i, k)]
+            n, *sums = df.dropna(subset=cols).agg(F.count(F.lit(1)), *[F.sum(c) for c in x], *[F.sum(x[i] * x[j]) for i, j in pairs]).first()
+            if n:
+                self.n, self.sums = float(n), np.array(sums[:k])
+                for (i, j), s in zip(pairs, sums[k:]):
+                    self.products[i, j] = self.products[j, i] = s
+            return
         for r in cross_products(df.dropna(subset=cols), cols).collect():
             i, j = at[r["a"]], at[r["b"]]
             self.n, self.sums[i], self.sums[j] = r["n"], r["sx"], r["sy"]
@@ -69,6 +81,19 @@ class Gram:
         coef = np.linalg.solve(cov[np.ix_(f, f)] + penalty * np.eye(len(f)), cov[f, t])
         return coef.tolist(), float((self.sums[t] - coef @ self.sums[f]) / max(self.n, 1.0))
 
+    def ridge_scaled(self, features: list[str], y: str, penalty: float) -> tuple[list[float], float]:
+        """(coefficients, intercept) of MLlib's ``LinearRegression(regParam=penalty,
+        elasticNetParam=0)``: the penalty is on features and label of unit deviation.
+        A constant feature (but for rounding of the sums), and every feature of a
+        constant label, gets 0."""
+        cov = self.products - np.outer(self.sums, self.sums) / max(self.n, 1.0)
+        var = np.array([cov[self.at[c], self.at[c]] for c in features])
+        spread = np.sqrt(max(cov[self.at[y], self.at[y]], 0.0) / max(self.n, 1.0))
+        live = [c for c, v in zip(features, var) if v > 1e-12 * self.products[self.at[c], self.at[c]] and spread > 0]
+        coef = dict(zip(live, self.ridge(live, y, penalty / spread * var[[c in live for c in features]])[0])) if live else {}
+        out = [coef.get(c, 0.0) for c in features]
+        return out, float((self.sums[self.at[y]] - sum(b * self.sums[self.at[c]] for b, c in zip(out, features))) / max(self.n, 1.0))
+
     def ranked(self, features: list[str], y: str) -> list[str]:
         """The features by falling absolute correlation with ``y``, ties by name."""
         cov = self.products - np.outer(self.sums, self.sums) / max(self.n, 1.0)
